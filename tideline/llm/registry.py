@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import audio, mixing, quality
 
 
 def queries():
-    return {"op3_mix": mixing.op3_mix}
+    return {"op3_mix": mixing.op3_mix, "op6_quality": quality.op6_quality, "op10_audio": audio.op10_audio}
 
 
 def oracle_sql():
-    return {"op3_mix": mixing.OP3_SQL}
+    return {"op3_mix": mixing.OP3_SQL, "op6_quality": quality.OP6_SQL}
