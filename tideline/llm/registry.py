@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import audio, mixing, quality
+from . import audio, mixing, quality, sentencepiece_codec
 
 
 def queries():
-    return {"op3_mix": mixing.op3_mix, "op6_quality": quality.op6_quality, "op10_audio": audio.op10_audio}
+    return {"op3_mix": mixing.op3_mix, "op6_quality": quality.op6_quality, "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece, "op10_audio": audio.op10_audio}
 
 
 def oracle_sql():
