@@ -37,8 +37,14 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("class")).unionByName(roots.select("node", F.col("node").alias("class")))
 
 
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """The members of buckets of two or more, written once."""
+    keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return checkpoint(members.join(keys, "key"))
+
+
 def bucket_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column], rounds: int = 4, room: float = 20.0) -> tuple[DataFrame | None, DataFrame | None]:
-    """members (key, node, sketch), each (key, node) once -> classes (node, class) of the links within buckets, or None.
+    """members (key, node, sketch), each (key, node) once, of buckets of two or more (shared_buckets) -> classes (node, class) of the links within buckets, or None.
 
     A star a bucket and round: all members are verified against one centre, another one each round, until every bucket
     lies in one class. Members of one class need no further pair. What is left after `rounds`, or as soon as it is small
@@ -46,8 +52,7 @@ def bucket_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     So the work is linear in a large bucket of copies, and no link that the buckets hold is lost. verify gets and
     returns (a, b), a < b. The second result holds the verified pairs.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    open_ = checkpoint(members.join(sizes, "key").select("key", "node", "sketch"))
+    open_ = members.select("key", "node", "sketch")
     links: DataFrame | None = None
     classes: DataFrame | None = None
     tried: DataFrame | None = None

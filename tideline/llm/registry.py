@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import audio, mixing, near_dup, quality, sentencepiece_codec
+from . import audio, line_dedup, mixing, near_dup, quality, sentencepiece_codec
 
 
 def queries():
-    return {"op2_near_dup": near_dup.op2_near_dup, "op3_mix": mixing.op3_mix, "op6_quality": quality.op6_quality, "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece, "op10_audio": audio.op10_audio}
+    return {"op2_near_dup": near_dup.op2_near_dup, "op3_mix": mixing.op3_mix, "op6_quality": quality.op6_quality, "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece, "op9_line_dedup": line_dedup.op9_line_dedup, "op10_audio": audio.op10_audio}
 
 
 def oracle_sql():
