@@ -41,3 +41,4 @@ def test_rows(spark):
     assert rows[2].ids == rows[3].ids
     assert all(r.round_trip and r.parity for i, r in rows.items() if i)
     assert codec.encode(df.limit(0)).collect() == []
+    assert codec.encode(df, keep=("doc_id", "text", "ids")).columns == ["doc_id", "text", "n_tokens", "ids", "round_trip", "parity"]

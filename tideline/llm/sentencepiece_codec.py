@@ -185,11 +185,12 @@ def encode(docs, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",), thread
 
     round_trip: the ids decode to the text as the model normalises it (for a model that changes nothing, to the text).
     parity: the reference library gives the same ids; computed for one text in `verify_every` by hash of the text, null
-    for the others, so that a change of library or model shows in every run (0: for none).
+    for the others, so that a change of library or model shows in every run (0: for none). Kept columns of these names are replaced.
     """
     from pyspark.sql import functions as F
 
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep], "text")
+    keep = tuple(c for c in keep if c.lower() not in ("n_tokens", "ids", "round_trip", "parity"))
+    kept = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((*keep, "text"))])
     fields_ = [f for f in kept.schema.fields if f.name != "text" or "text" in keep]
     out = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields_], "n_tokens int", "ids array<int>", "round_trip boolean", "parity boolean"])
 
