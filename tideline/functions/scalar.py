@@ -85,10 +85,7 @@ def lang_matches(lang: Column, wanted: str) -> Column:
 
 def instant(v: Column) -> Column:
     """A date or dateTime string as a point in time; without a zone it is in UTC."""
-    return F.coalesce(
-        F.try_to_timestamp(F.regexp_replace(v, r"^(-?\d{4}-\d\d-\d\d)(Z|[+-]\d\d:\d\d)$", "$1T00:00:00$2")),
-        F.try_to_timestamp(v),
-    )
+    return F.try_to_timestamp(F.regexp_replace(v, r"^(-?\d{4}-\d\d-\d\d)(Z|[+-]\d\d:\d\d)$", "$1T00:00:00$2"))
 
 
 def tz(v: Column) -> Column:

@@ -53,13 +53,27 @@ def is_triple(t: Column) -> Column:
     return t.startswith("<<")
 
 
+def _unescape(v: Column) -> Column:
+    """Escaped backslashes are set aside under a character that no text has."""
+    v = F.replace(v, F.lit("\\\\"), F.lit("\ue000"))
+    for raw, esc in _ESCAPES[1:]:
+        v = F.replace(v, F.lit(esc), F.lit(raw))
+    return F.replace(v, F.lit("\ue000"), F.lit("\\"))
+
+
 def lexical(t: Column) -> Column:
     """STR: the IRI or the literal's text; null for blank nodes and triples."""
-    inner = F.regexp_extract(t, r'^"((?:[^"\\]|\\.)*+)"', 1)
-    for raw, esc in reversed(_ESCAPES[1:]):
-        inner = F.replace(inner, F.lit(esc), F.lit(raw)) if raw != "\\" else inner
-    plain = F.when(F.contains(inner, F.lit("\\")), F.replace(inner, F.lit("\\\\"), F.lit("\\"))).otherwise(inner)
-    return F.when(is_literal(t), plain).when(is_iri(t), F.regexp_extract(t, "^<(.*)>$", 1))
+    return F.when(is_literal(t), _unescape(F.regexp_extract(t, r'^"((?:[^"\\]|\\.)*+)"', 1))).when(is_iri(t), F.substring(t, F.lit(2), F.length(t) - 2))
+
+
+def simple(t: Column) -> Column:
+    """The text of a literal that has no escapes, as those of numbers and dates."""
+    return F.regexp_extract(t, '^"([^"]*)"', 1)
+
+
+def is_string(t: Column) -> Column:
+    """A plain or a language-tagged string."""
+    return t.rlike(r'(?s)^".*"(@[A-Za-z0-9-]+)?$')
 
 
 def lang(t: Column) -> Column:
@@ -71,24 +85,40 @@ def datatype(t: Column) -> Column:
     return F.when(is_literal(t), F.when(explicit != "", explicit).when(lang(t) != "", RDF + "langString").otherwise(XSD + "string"))
 
 
+_DECIMAL = r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)"
+_NUMBER = rf'^"(?:[+-]?\d+"\^\^<{XSD}(?:{"|".join(INTEGERS)})>|{_DECIMAL}"\^\^<{XSD}decimal>|(?:{_DECIMAL}(?:[eE][+-]?\d+)?|-?INF|NaN)"\^\^<{XSD}(?:float|double)>)$'
+
+
 def is_numeric(t: Column) -> Column:
-    return F.coalesce(datatype(t).isin(*[XSD + n for n in NUMERIC]) & number(t).isNotNull(), F.lit(False))
+    return F.coalesce(t.rlike(_NUMBER), F.lit(False))
 
 
 def number(t: Column) -> Column:
-    """Value of a numeric literal as a double; null for any other term."""
-    from .scalar import cast
+    """Value of a numeric literal as a double; null for any other term and for ill-formed ones."""
+    return F.when(t.rlike(_NUMBER), simple(t).try_cast("double"))
 
-    return F.when(datatype(t).isin(*[XSD + n for n in NUMERIC]), cast(lexical(t), "double"))
 
+def number_rank(t: Column) -> Column:
+    """0 integer, 1 decimal, 2 float, 3 double; null for what is no number."""
+    kinds = F.when(t.endswith("#decimal>"), 1).when(t.endswith("#float>"), 2).when(t.endswith("#double>"), 3).otherwise(0)
+    return F.when(t.rlike(_NUMBER), kinds)
 
-def order_keys(t: Column) -> list[Column]:
-    """Sort keys: unbound, blank node, IRI, literal; numbers by value, dates by instant, then by string."""
+
+def is_time(t: Column) -> Column:
+    return t.endswith(f"^^<{XSD}dateTime>") | t.endswith(f"^^<{XSD}date>")
+
+
+def time(t: Column) -> Column:
+    """A dateTime or date as a point in time."""
     from .scalar import instant
 
+    return F.when(is_time(t), instant(simple(t)))
+
+
+def order_keys(t: Column) -> list[Column]:
+    """Sort keys: unbound, blank node, IRI, literal; numbers by value, dates by instant, then by string."""
     kind = F.when(t.isNull(), 0).when(is_blank(t), 1).when(is_iri(t), 2).when(is_literal(t), 3).otherwise(4)
-    when = F.when(datatype(t).isin(XSD + "dateTime", XSD + "date"), instant(lexical(t)))
-    return [kind, number(t), when, lexical(t), t]
+    return [kind, number(t), time(t), lexical(t), t]
 
 
 def triple(s: Column, p: Column, o: Column) -> Column:

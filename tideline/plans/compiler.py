@@ -16,9 +16,27 @@ from . import algebra as A
 Relations = Mapping[str, DataFrame]
 
 
-def evaluate(node: A.Node, state: Relations) -> DataFrame:
-    """The weighted result over the state of the base relations."""
-    ev = lambda n: evaluate(n, state)
+#: Results of inner nodes, by the node's identity.
+Kept = dict[int, DataFrame]
+
+
+def light(node: A.Node) -> bool:
+    """Whether a node is a row-wise step over base relations, so cheap that its result is not worth keeping."""
+    return isinstance(node, (A.Scan, A.Inline)) or (isinstance(node, (A.Map, A.Filter, A.Extend, A.Project, A.Union)) and all(light(x) for x in node.children()))
+
+
+def worth_keeping(node: A.Node) -> list[A.Node]:
+    """Inner nodes, children first, whose result a stateful node above reads again at each change."""
+    found = [y for x in node.children() for y in worth_keeping(x)]
+    stateful = isinstance(node, (A.Join, A.Group, A.Distinct, A.OrderBy, A.Slice, A.Whole))
+    return found + [x for x in node.children() if stateful and not light(x)]
+
+
+def evaluate(node: A.Node, state: Relations, kept: Kept | None = None) -> DataFrame:
+    """The weighted result over the state of the base relations; kept results are used where there are."""
+    if kept and id(node) in kept:
+        return kept[id(node)]
+    ev = lambda n: evaluate(n, state, kept)
     match node:
         case A.Scan(name):
             return state[name]
@@ -57,14 +75,25 @@ def evaluate(node: A.Node, state: Relations) -> DataFrame:
     raise NotImplementedError(f"{type(node).__name__} can't be evaluated")
 
 
-def delta(node: A.Node, old: Relations, change: Relations) -> DataFrame | None:
+def delta(node: A.Node, old: Relations, change: Relations, kept: Kept | None = None, memo: dict | None = None) -> DataFrame | None:
     """The change of the result; None where nothing that the node reads changes.
 
     Linear nodes map the change. An inner join joins changes with the other side's state. Other nodes are computed for the
-    keys that a change touches, on the old and on the new state, and subtracted.
+    keys that a change touches, on the old and on the new state, and subtracted. Changes of nodes whose results are kept
+    are written once and left in memo.
     """
-    d = lambda n: delta(n, old, change)
-    was = lambda n: consolidate(evaluate(n, old))
+    memo = {} if memo is None else memo
+    if kept and id(node) in kept:
+        if id(node) not in memo:
+            x = _delta(node, old, change, kept, memo)
+            memo[id(node)] = None if x is None else checkpoint(consolidate(x))
+        return memo[id(node)]
+    return _delta(node, old, change, kept, memo)
+
+
+def _delta(node: A.Node, old: Relations, change: Relations, kept: Kept | None, memo: dict) -> DataFrame | None:
+    d = lambda n: delta(n, old, change, kept, memo)
+    was = lambda n: kept[id(n)] if kept and id(n) in kept else consolidate(evaluate(n, old, kept))
 
     def now(n: A.Node) -> DataFrame:
         x = d(n)
@@ -88,13 +117,14 @@ def delta(node: A.Node, old: Relations, change: Relations) -> DataFrame | None:
             if not found:
                 return None
             # Columns of parts that don't change are unbound in the change.
-            shape = evaluate(node, old).limit(0)
+            shape = evaluate(node, old, kept).limit(0)
             return plus([shape, *found]).select(*shape.columns)
         case A.Join(left, right, kind, keys, condition):
             da, db = d(left), d(right)
             if da is None and db is None:
                 return None
-            a, b = was(left), was(right)
+            # The bilinear rules need no consolidated state.
+            a, b = (evaluate(left, old, kept), evaluate(right, old, kept)) if kind in ("inner", "compatible") else (was(left), was(right))
             da, db = (a.limit(0) if da is None else da), (b.limit(0) if db is None else db)
             if kind == "inner":
                 out = j.inner_delta(a, da, b, db, keys)
@@ -123,6 +153,25 @@ def delta(node: A.Node, old: Relations, change: Relations) -> DataFrame | None:
     raise NotImplementedError(f"{type(node).__name__} has no rule for changes")
 
 
+class Keeper:
+    """Results of inner nodes, carried from change to change."""
+
+    def __init__(self, node: A.Node, state: Relations):
+        self.node, self.nodes, self.kept = node, list({id(n): n for n in worth_keeping(node)}.values()), {}
+        for n in self.nodes:
+            self.kept[id(n)] = checkpoint(consolidate(evaluate(n, state, self.kept)))
+
+    def step(self, old: Relations, change: Relations) -> DataFrame | None:
+        """The change of the result; kept results move on."""
+        memo: dict = {}
+        out = delta(self.node, old, change, self.kept, memo)
+        for n in self.nodes:
+            x = memo.get(id(n))
+            if x is not None:
+                self.kept[id(n)] = checkpoint(consolidate(plus([self.kept[id(n)], x])))
+        return out
+
+
 def replay(node: A.Node, logs: Relations, last: int) -> DataFrame:
     """The result after epochs 0 .. last of the logs, epoch by epoch: the first in full, then one change after another."""
     return consolidate(plus(list(changes(node, logs, last).values())))
@@ -130,27 +179,30 @@ def replay(node: A.Node, logs: Relations, last: int) -> DataFrame:
 
 def changes(node: A.Node, logs: Relations, last: int) -> dict[int, DataFrame]:
     """What each epoch adds to the result."""
-    found = {0: evaluate(node, {k: integrate(v, 0) for k, v in logs.items()})}
+    first = {k: integrate(v, 0) for k, v in logs.items()}
+    keeper = Keeper(node, first)
+    found = {0: evaluate(node, first, dict(keeper.kept))}
     for e in range(1, last + 1):
         old = {k: integrate(v, e - 1) for k, v in logs.items()}
-        x = delta(node, old, {k: v.where(v[EPOCH] == e).drop(EPOCH) for k, v in logs.items()})
+        x = keeper.step(old, {k: v.where(v[EPOCH] == e).drop(EPOCH) for k, v in logs.items()})
         if x is not None:
             found[e] = x
     return found
 
 
 class View:
-    """A maintained query. State (base relations and result) is kept in durable tables, rewritten at each change."""
+    """A maintained query. State (base relations, results of inner nodes, result) is kept in durable tables, rewritten at each change."""
 
     def __init__(self, node: A.Node, state: Relations):
         self.node = node
         self.state = {k: checkpoint(consolidate(v)) for k, v in state.items()}
-        self.rows = checkpoint(consolidate(evaluate(node, self.state)))
+        self.keeper = Keeper(node, self.state)
+        self.rows = checkpoint(consolidate(evaluate(node, self.state, self.keeper.kept)))
 
     def apply(self, change: Relations) -> DataFrame:
         """Take a change of base relations; the net change of the result."""
         change = {k: consolidate(v) for k, v in change.items()}
-        out = delta(self.node, self.state, change)
+        out = self.keeper.step(self.state, change)
         out = self.rows.limit(0) if out is None else checkpoint(consolidate(out).select(*self.rows.columns))
         self.rows = checkpoint(consolidate(plus([self.rows, out])))
         for k, v in change.items():

@@ -552,6 +552,140 @@ def udf_extension(spark, sf_dir):
     return rows(replay(plan, {"o": log(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus")}, LAST))
 
 
+# SPARQL over the tables as quads
+
+
+BASE = "http://tideline.example/"
+PREFIX = f"PREFIX t: <{BASE}> PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> "
+
+
+def quads(spark, sf_dir, *tables: tuple) -> DataFrame:
+    """(table, key, columns...) as one changelog of quads; tables without a recipe don't change."""
+    from .sources.formats import unpivot
+
+    parts = []
+    for table, key, *names in tables:
+        rows_ = log(spark, sf_dir, table, key, *names) if table in RECIPE else cl.lift(read(spark, sf_dir, table).select(key, *names), 1, 0)
+        parts += [unpivot(rows_.where(F.col(EPOCH) == e).drop(EPOCH), table, key, BASE).withColumn(EPOCH, F.lit(e)) for e in range(LAST + 1)]
+    return cl.plus(parts)
+
+
+def sparql(spark, log_: DataFrame, text: str, **options) -> DataFrame:
+    """The maintained result of a query over a changelog of quads, as plain rows of terms."""
+    from .plans.sparql import QUADS, compile_query
+
+    compiled = compile_query(spark, PREFIX + text, **options)
+    return rows(replay(compiled.node, {QUADS: cl.checkpoint(log_)}, LAST))
+
+
+_INT = '"^^<http://www.w3.org/2001/XMLSchema#integer>'
+
+
+@query(f"""SELECT '"' || n_name || '"' AS name, '"' || count(*) || '{_INT}' AS n, '"' || max(c_custkey) || '{_INT}' AS hi FROM {C} JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name HAVING count(*) > 3""")
+def sparql_bgp_group(spark, sf_dir):
+    q = quads(spark, sf_dir, ("nation", "n_nationkey", "n_name"), ("customer", "c_custkey", "c_nationkey"))
+    return sparql(spark, q, "SELECT ?name (COUNT(*) AS ?n) (MAX(?k) AS ?hi) { ?c t:c_nationkey ?nk ; t:c_custkey ?k . ?x t:n_nationkey ?nk ; t:n_name ?name } GROUP BY ?name HAVING(COUNT(*) > 3)")
+
+
+@query(f"""SELECT '"' || s_name || '"' AS name, CASE WHEN s_nationkey < 10 THEN '"' || n_name || '"' END AS nation FROM {S} LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey < 10 WHERE s_suppkey % 2 = 0 OR s_suppkey > 50""")
+def sparql_optional_filter(spark, sf_dir):
+    q = quads(spark, sf_dir, ("nation", "n_nationkey", "n_name"), ("supplier", "s_suppkey", "s_name", "s_nationkey"))
+    return sparql(spark, q, "SELECT ?name ?nation { ?s t:s_suppkey ?k ; t:s_name ?name ; t:s_nationkey ?nk OPTIONAL { ?x t:n_nationkey ?nk ; t:n_name ?nation FILTER(?nk < 10) } FILTER(?k - 2 * FLOOR(?k / 2) = 0 || ?k > 50) }")
+
+
+@query(f"""SELECT DISTINCT '"' || n_regionkey || '{_INT}' AS r FROM {S} JOIN nation ON s_nationkey = n_nationkey WHERE n_name NOT LIKE '%1%'""")
+def sparql_path_distinct(spark, sf_dir):
+    from .functions import terms as t
+
+    n = quads(spark, sf_dir, ("nation", "n_nationkey", "n_name", "n_regionkey"))
+    link = log(spark, sf_dir, "supplier", t.iri(F.concat(F.lit(BASE + "supplier/"), "s_suppkey")).alias("s"), F.lit(f"<{BASE}in>").alias("p"), t.iri(F.concat(F.lit(BASE + "nation/"), "s_nationkey")).alias("o"), F.lit(None).cast("string").alias("g"))
+    return sparql(spark, cl.plus([n, link]), "SELECT DISTINCT ?r { ?s t:in/t:n_regionkey ?r . ?s t:in ?n MINUS { ?n t:n_name ?name FILTER(CONTAINS(?name, '1')) } }")
+
+
+@query(f"""SELECT '"' || c_name || '"' AS name, '"' || lower(c_mktsegment) || '"' AS seg, '"' || (c_custkey + 1) || '{_INT}' AS k, row_number() OVER (ORDER BY c_custkey DESC) - 1 AS __rank FROM {C} WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') ORDER BY c_custkey DESC""")
+def sparql_order_rank(spark, sf_dir):
+    q = quads(spark, sf_dir, ("customer", "c_custkey", "c_name", "c_mktsegment"))
+    return sparql(spark, q, "SELECT ?name (LCASE(?m) AS ?seg) (?c + 1 AS ?k) { ?x t:c_custkey ?c ; t:c_name ?name ; t:c_mktsegment ?m FILTER(?m IN ('BUILDING', 'MACHINERY')) } ORDER BY DESC(?c)")
+
+
+@query(f"""SELECT '"' || s_name || '"' AS name, '"' || k || '"' AS k FROM (SELECT s_name, 'low' AS k FROM {S} WHERE s_nationkey < 3 UNION ALL SELECT s_name, 'high' FROM {S} s WHERE s_nationkey > 20 AND EXISTS (SELECT 1 FROM nation n WHERE n.n_nationkey = s.s_nationkey AND n_regionkey = 3)) ORDER BY s_name LIMIT 12 OFFSET 2""")
+def sparql_union_exists_slice(spark, sf_dir):
+    q = quads(spark, sf_dir, ("nation", "n_nationkey", "n_regionkey"), ("supplier", "s_suppkey", "s_name", "s_nationkey"))
+    text = "SELECT ?name ?k { { ?s t:s_name ?name ; t:s_nationkey ?n FILTER(?n < 3) BIND('low' AS ?k) } UNION { ?s t:s_name ?name ; t:s_nationkey ?n FILTER(?n > 20) FILTER EXISTS { ?x t:n_nationkey ?n ; t:n_regionkey 3 } BIND('high' AS ?k) } } ORDER BY ?name LIMIT 12 OFFSET 2"
+    return sparql(spark, q, text)
+
+
+# Streams
+
+
+def _stream(spark, log_: DataFrame):
+    """The log as files, one for each epoch, read one a micro-batch."""
+    import uuid
+
+    path = f"{cl.shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    for e in range(LAST + 1):
+        log_.where(F.col(EPOCH) == e).drop(EPOCH).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    schema = spark.read.parquet(f"{path}/in").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
+
+
+def _followed(spark, node: A.Node, logs: dict[str, DataFrame]) -> DataFrame:
+    from .streaming.micro import RELATION, StreamView
+
+    shapes = {k: v.drop(WEIGHT, EPOCH).schema for k, v in logs.items()}
+    if len(logs) > 1:
+        logs = {k: v.withColumn(RELATION, F.lit(k)) for k, v in logs.items()}
+    stream, path = _stream(spark, cl.plus(list(logs.values())))
+    view = StreamView(spark, node, shapes, f"{path}/view")
+    view.start(stream).awaitTermination()
+    return cl.expand(view.result())
+
+
+@query(f"SELECT o_orderpriority, count(*) AS n, max(o_orderkey) AS hi FROM {O} GROUP BY 1")
+def stream_group(spark, sf_dir):
+    plan = A.Group(A.Scan("o"), ["o_orderpriority"], {"n": Agg("count"), "hi": Agg("max", F.col("o_orderkey"))})
+    return _followed(spark, plan, {"o": log(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority")})
+
+
+@query(f"SELECT o_orderkey, o_custkey, l_linenumber FROM {O} JOIN {L} ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'")
+def stream_join(spark, sf_dir):
+    return _followed(spark, A.Join(A.Scan("o"), A.Scan("l"), keys=["o_orderkey"]), _order_lines(spark, sf_dir))
+
+
+def _keyed(spark, log_: DataFrame, make, names: list[str]) -> DataFrame:
+    from .streaming.micro import ROCKSDB
+
+    stream, path = _stream(spark, log_)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        out = make(stream, names)
+
+        def step(df: DataFrame, batch: int) -> None:
+            df.write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
+
+        out.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").foreachBatch(step).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return cl.expand(cl.consolidate(spark.read.parquet(f"{path}/out").drop("batch")))
+
+
+@query(f"SELECT DISTINCT l_suppkey, l_linenumber FROM {L} WHERE l_returnflag = 'R'")
+def stream_distinct(spark, sf_dir):
+    from .streaming.micro import distinct_stream
+
+    rows_ = log(spark, sf_dir, "lineitem", "l_suppkey", "l_linenumber", "l_returnflag").where("l_returnflag = 'R'").drop("l_returnflag")
+    return _keyed(spark, rows_, distinct_stream, ["l_suppkey", "l_linenumber"])
+
+
+@query(f"SELECT event_type, count(*) AS n FROM {E} GROUP BY 1")
+def stream_count(spark, sf_dir):
+    from .streaming.micro import count_stream
+
+    return _keyed(spark, log(spark, sf_dir, "events", "event_type", "event_id").drop("event_id"), count_stream, ["event_type"])
+
+
 def entry_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revenue_by_priority(spark, sf_dir)
 

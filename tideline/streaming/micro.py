@@ -18,6 +18,8 @@ from ..plans.compiler import delta, evaluate
 
 #: Names the base relation of a row in a stream that carries several.
 RELATION = "__relation"
+#: Weight and order of events as the processors see them: names that begin with an underscore don't reach pandas.
+CHANGE, ORDER = "w_change", "w_order"
 
 
 class StreamView:
@@ -105,11 +107,11 @@ class DistinctProcessor(_Counts):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         before = self._before()
-        now = before + int(sum(r[WEIGHT].sum() for r in rows))
+        now = before + int(sum(r[CHANGE].sum() for r in rows))
         self._after(now)
         change = int(now > 0) - int(before > 0)
         if change:
-            yield pd.DataFrame([(*key, change)], columns=[*self.names, WEIGHT])
+            yield pd.DataFrame([(*key, change)], columns=[*self.names, CHANGE])
 
 
 class SetProcessor(_Counts):
@@ -117,12 +119,12 @@ class SetProcessor(_Counts):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         before, every = self._before(), pd.concat(list(rows))
-        if "__seq" in every.columns:
-            every = every.sort_values("__seq", kind="stable")
-        now = int(every[WEIGHT].iloc[-1] > 0)
+        if ORDER in every.columns:
+            every = every.sort_values(ORDER, kind="stable")
+        now = int(every[CHANGE].iloc[-1] > 0)
         self._after(now)
         if now != before:
-            yield pd.DataFrame([(*key, now - before)], columns=[*self.names, WEIGHT])
+            yield pd.DataFrame([(*key, now - before)], columns=[*self.names, CHANGE])
 
 
 class GroupCountProcessor(_Counts):
@@ -130,11 +132,11 @@ class GroupCountProcessor(_Counts):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         before = self._before()
-        now = before + int(sum(r[WEIGHT].sum() for r in rows))
+        now = before + int(sum(r[CHANGE].sum() for r in rows))
         self._after(now)
         out = ([(*key, before, -1)] if before > 0 else []) + ([(*key, now, 1)] if now > 0 else [])
         if now != before and out:
-            yield pd.DataFrame(out, columns=[*self.names, "n", WEIGHT])
+            yield pd.DataFrame(out, columns=[*self.names, "n", CHANGE])
 
 
 def keyed(stream: DataFrame, names: list[str], processor: type[_Counts], extra: str = "") -> DataFrame:
@@ -143,8 +145,10 @@ def keyed(stream: DataFrame, names: list[str], processor: type[_Counts], extra:
     made.names = names
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields if f.name in names]
     fields = sorted(fields, key=lambda x: names.index(x.split("`")[1]))
-    schema = ", ".join([*fields, *([extra] if extra else []), f"{WEIGHT} long"])
-    return stream.groupBy(*names).transformWithStateInPandas(made, outputStructType=schema, outputMode="Update", timeMode="None")
+    schema = ", ".join([*fields, *([extra] if extra else []), f"{CHANGE} long"])
+    given = stream.withColumnsRenamed({WEIGHT: CHANGE, "__seq": ORDER})
+    out = given.groupBy(*names).transformWithStateInPandas(made, outputStructType=schema, outputMode="Update", timeMode="None")
+    return out.withColumnRenamed(CHANGE, WEIGHT)
 
 
 def distinct_stream(stream: DataFrame, names: list[str]) -> DataFrame:
