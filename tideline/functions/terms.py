@@ -116,8 +116,9 @@ def time(t: Column) -> Column:
 
 
 def order_keys(t: Column) -> list[Column]:
-    """Sort keys: unbound, blank node, IRI, literal; numbers by value, dates by instant, then by string."""
-    kind = F.when(t.isNull(), 0).when(is_blank(t), 1).when(is_iri(t), 2).when(is_literal(t), 3).otherwise(4)
+    """Sort keys: unbound, blank node, IRI, literal; of literals numbers by value, then times by instant, then the rest by text."""
+    literal = F.when(t.rlike(_NUMBER), 3).when(is_time(t), 4).otherwise(5)
+    kind = F.when(t.isNull(), 0).when(is_blank(t), 1).when(is_iri(t), 2).when(is_literal(t), literal).otherwise(6)
     return [kind, number(t), time(t), lexical(t), t]
 
 

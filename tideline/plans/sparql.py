@@ -518,7 +518,7 @@ class Val:
         whole = F.format_string("%.0f", self.col)
         dec = F.regexp_replace(self.col.cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
         text = F.when(self.rank == 0, whole).when(self.rank == 1, F.when(self.col == F.floor(self.col), whole).otherwise(dec)).otherwise(self.col.cast("string"))
-        return F.concat(F.lit('"'), text, F.element_at(F.array(*[F.lit(f'"^^<{t.XSD}{d}>') for d in ("integer", "decimal", "float", "double")]), self.rank + 1))
+        return F.when(self.col.isNotNull(), F.concat(F.lit('"'), text, F.element_at(F.array(*[F.lit(f'"^^<{t.XSD}{d}>') for d in ("integer", "decimal", "float", "double")]), self.rank + 1)))
 
     def number(self) -> tuple[Column, Column]:
         if self.kind == "num":

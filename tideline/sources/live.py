@@ -286,7 +286,7 @@ class SourceSet:
                 return
         n = self.counts.get(key, 0)
         self.counts[key] = n + 1
-        if n == 0 or not self.distinct or key != self._key(key) or "://" not in key:
+        if n == 0 or not self.distinct or "://" not in key:
             self.out.append((key, 1))
 
     def remove(self, source: str) -> None:
