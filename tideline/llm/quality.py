@@ -101,11 +101,17 @@ def judge(docs: DataFrame, cleaned: str | None = None) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """Kept documents without their failing lines; n_chars, where there is one, follows the text."""
-    new = fresh(docs.columns + MEASURES, "cleaned")[0]
     names = docs.columns
-    found = judge(docs.select(*[F.col(f"`{c}`") for c in names]), new).where("kept")
-    lower = {"text": F.col(new), "n_chars": F.length(F.col(new)).cast("long")}
-    return found.select(*[lower[c].alias(c) if c in lower else F.col(f"`{c}`") for c in names])
+    new, verdict = fresh(names + MEASURES, "cleaned", "verdict")
+    # The verdict goes through a generator that gives one row or none: a filter on it would be pushed below the
+    # measures' projection and work them out a second time.
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"in{i}") for i, c in enumerate(names)], F.col("text"))
+    found = judge(plain, new)
+    once = F.explode(F.filter(F.array(F.struct(F.col("kept"), F.col(new).alias("text"))), lambda x: x["kept"])).alias(verdict)
+    found = found.select(*[F.col(f"in{i}") for i in range(len(names))], once)
+    cleaned = F.col(f"{verdict}.text")
+    lower = {"text": cleaned, "n_chars": F.length(cleaned).cast("long")}
+    return found.select(*[(lower[c] if c in lower else F.col(f"in{i}")).alias(c) for i, c in enumerate(names)])
 
 
 def op6_quality(spark, sf_dir):
