@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from ..changelog import WEIGHT, c, columns, consolidate, minus, plus, touched
 
 
+#: Aggregates that follow from sums of weights.
+INVERTIBLE = ("count", "sum", "avg")
+
+
 @dataclass(frozen=True)
 class Agg:
     """kind: count, sum, avg, min, max, sample, concat; value: column (None: whole rows, for count); ok: false where the value is of the wrong kind."""
@@ -36,7 +40,7 @@ class Agg:
         out = {
             "count": lambda: F.count_distinct(v) if self.distinct else F.coalesce(F.sum(F.when(v.isNotNull(), w)), F.lit(0)).cast("long"),
             "sum": lambda: F.coalesce(F.sum_distinct(v) if self.distinct else F.sum(v * w), F.lit(0)),
-            "avg": lambda: F.coalesce(F.sum_distinct(v) / F.count_distinct(v) if self.distinct else F.sum(v * w) / F.sum(F.when(v.isNotNull(), w)), F.lit(0)),
+            "avg": lambda: F.coalesce(F.try_divide(F.sum_distinct(v), F.count_distinct(v)) if self.distinct else F.try_divide(F.sum(v * w), F.sum(F.when(v.isNotNull(), w))), F.lit(0)),
             "min": lambda: F.min(v),
             "max": lambda: F.max(v),
             "sample": lambda: F.min(v),
@@ -59,15 +63,20 @@ def _alive(df: DataFrame) -> DataFrame:
 
 
 def group(df: DataFrame, keys: Sequence[str], aggs: dict[str, Agg]) -> DataFrame:
-    """A consolidated bag grouped by the keys; null is a key like any other. Without keys one row, whatever the input."""
+    """A bag grouped by the keys; null is a key like any other. Without keys one row, whatever the input.
+
+    Sums of weights need no net rows; other aggregates see the input consolidated.
+    """
     rows = columns(df)
-    alive = _alive(df)
-    built = [a.build(rows).alias(n) for n, a in aggs.items()] or [F.lit(1).alias("__one")]
+    plain = all(a.kind in INVERTIBLE and not a.distinct and a.ok is None for a in aggs.values())
+    alive = df if plain else _alive(consolidate(df))
+    built = [a.build(rows).alias(n) for n, a in aggs.items()]
+    there = F.sum(WEIGHT).alias("__rows")
     if keys:
-        out = alive.groupBy(*[c(k) for k in keys]).agg(*built)
+        out = alive.groupBy(*[c(k) for k in keys]).agg(there, *built).where("__rows > 0")
     else:
-        out = alive.agg(*built)
-    return out.drop("__one").withColumn(WEIGHT, F.lit(1).cast("long"))
+        out = alive.agg(there, *built)
+    return out.drop("__rows").withColumn(WEIGHT, F.lit(1).cast("long"))
 
 
 def group_delta(old: DataFrame, delta: DataFrame, keys: Sequence[str], aggs: dict[str, Agg]) -> DataFrame:
@@ -77,10 +86,7 @@ def group_delta(old: DataFrame, delta: DataFrame, keys: Sequence[str], aggs: dic
     """
     hit = delta.select(*[c(k) for k in keys]).distinct() if keys else delta
     before = touched(old, hit, keys)
-    return minus(group(consolidate(plus([before, delta])), keys, aggs), group(before, keys, aggs))
-
-
-INVERTIBLE = ("count", "sum", "avg")
+    return minus(group(plus([before, delta]), keys, aggs), group(before, keys, aggs))
 
 
 def sums_delta(state: DataFrame, delta: DataFrame, keys: Sequence[str], aggs: dict[str, Agg]) -> tuple[DataFrame, DataFrame]:

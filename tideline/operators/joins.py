@@ -148,8 +148,10 @@ def _key_delta(op, a_old: DataFrame, da: DataFrame, b_old: DataFrame, db: DataFr
     names = [c(k) for k in keys]
     hit = plus([da.select(*names), db.select(*names)]).distinct() if keys else da
     cut = lambda df: touched(df, hit, keys)
+    # Cut before consolidating: only the touched part of a state is put together.
     a0, b0 = cut(a_old), cut(b_old)
     a1, b1 = consolidate(plus([a0, cut(da)])), consolidate(plus([b0, cut(db)]))
+    a0, b0 = consolidate(a0), consolidate(b0)
     return minus(op(a1, b1), op(a0, b0))
 
 

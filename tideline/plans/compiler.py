@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
-from ..changelog import EPOCH, checkpoint, columns, consolidate, integrate, minus, plus
+from ..changelog import EPOCH, checkpoint, columns, consolidate, minus, plus
 from ..operators import group as g
 from ..operators import joins as j
 from ..operators import order as o
@@ -62,7 +62,7 @@ def evaluate(node: A.Node, state: Relations, kept: Kept | None = None) -> DataFr
             a, b = consolidate(a), consolidate(b)
             return {"left": lambda: j.left(a, b, keys, condition), "semi": lambda: j.semi(a, b, keys), "anti": lambda: j.anti(a, b, keys), "minus": lambda: j.minus_rows(a, b)}[kind]()
         case A.Group(child, keys, aggs):
-            return g.group(consolidate(ev(child)), keys, aggs)
+            return g.group(ev(child), keys, aggs)
         case A.Distinct(child):
             return g.distinct(ev(child))
         case A.OrderBy(child, by, name):
@@ -93,11 +93,13 @@ def delta(node: A.Node, old: Relations, change: Relations, kept: Kept | None = N
 
 def _delta(node: A.Node, old: Relations, change: Relations, kept: Kept | None, memo: dict) -> DataFrame | None:
     d = lambda n: delta(n, old, change, kept, memo)
-    was = lambda n: kept[id(n)] if kept and id(n) in kept else consolidate(evaluate(n, old, kept))
+    # States are sums of changes, not consolidated: rules cut them to the touched keys first.
+    was = lambda n: evaluate(n, old, kept)
+    whole = lambda n: consolidate(was(n))
 
     def now(n: A.Node) -> DataFrame:
         x = d(n)
-        return was(n) if x is None else consolidate(plus([was(n), x]))
+        return whole(n) if x is None else consolidate(plus([was(n), x]))
 
     match node:
         case A.Scan(name):
@@ -123,8 +125,7 @@ def _delta(node: A.Node, old: Relations, change: Relations, kept: Kept | None, m
             da, db = d(left), d(right)
             if da is None and db is None:
                 return None
-            # The bilinear rules need no consolidated state.
-            a, b = (evaluate(left, old, kept), evaluate(right, old, kept)) if kind in ("inner", "compatible") else (was(left), was(right))
+            a, b = was(left), was(right)
             da, db = (a.limit(0) if da is None else da), (b.limit(0) if db is None else db)
             if kind == "inner":
                 out = j.inner_delta(a, da, b, db, keys)
@@ -139,27 +140,49 @@ def _delta(node: A.Node, old: Relations, change: Relations, kept: Kept | None, m
         case A.OrderBy(child, by, name):
             if (x := d(child)) is None:
                 return None
-            return minus(o.ranked(now(child), by, name), o.ranked(was(child), by, name))
+            return minus(o.ranked(now(child), by, name), o.ranked(whole(child), by, name))
         case A.Slice(child, length, start, by):
             if d(child) is None:
                 return None
             if by is None:
-                return minus(o.some(now(child), length, start), o.some(was(child), length, start))
-            return o.top_delta(was(child), now(child), by, length, start)
+                return minus(o.some(now(child), length, start), o.some(whole(child), length, start))
+            return o.top_delta(whole(child), now(child), by, length, start)
         case A.Whole(parts, op):
             if all(d(p) is None for p in parts):
                 return None
-            return minus(op(*[now(p) for p in parts]), op(*[was(p) for p in parts]))
+            return minus(op(*[now(p) for p in parts]), op(*[whole(p) for p in parts]))
     raise NotImplementedError(f"{type(node).__name__} has no rule for changes")
 
 
+class Parts:
+    """A relation as a base and the changes since, each in a durable table; put together after `most` changes."""
+
+    def __init__(self, base: DataFrame, most: int = 8):
+        self.parts, self.most = [checkpoint(consolidate(base))], most
+
+    def add(self, change: DataFrame) -> None:
+        """change: written already."""
+        self.parts.append(change)
+        if len(self.parts) > self.most:
+            self.parts = [checkpoint(consolidate(self.df))]
+
+    @property
+    def df(self) -> DataFrame:
+        return plus(self.parts)
+
+
 class Keeper:
     """Results of inner nodes, carried from change to change."""
 
     def __init__(self, node: A.Node, state: Relations):
-        self.node, self.nodes, self.kept = node, list({id(n): n for n in worth_keeping(node)}.values()), {}
+        self.node, self.nodes = node, list({id(n): n for n in worth_keeping(node)}.values())
+        self.parts: dict[int, Parts] = {}
         for n in self.nodes:
-            self.kept[id(n)] = checkpoint(consolidate(evaluate(n, state, self.kept)))
+            self.parts[id(n)] = Parts(evaluate(n, state, self.kept))
+
+    @property
+    def kept(self) -> Kept:
+        return {k: p.df for k, p in self.parts.items()}
 
     def step(self, old: Relations, change: Relations) -> DataFrame | None:
         """The change of the result; kept results move on."""
@@ -168,7 +191,7 @@ class Keeper:
         for n in self.nodes:
             x = memo.get(id(n))
             if x is not None:
-                self.kept[id(n)] = checkpoint(consolidate(plus([self.kept[id(n)], x])))
+                self.parts[id(n)].add(x)
         return out
 
 
@@ -179,11 +202,12 @@ def replay(node: A.Node, logs: Relations, last: int) -> DataFrame:
 
 def changes(node: A.Node, logs: Relations, last: int) -> dict[int, DataFrame]:
     """What each epoch adds to the result."""
-    first = {k: integrate(v, 0) for k, v in logs.items()}
+    upto = lambda v, e: v.where(v[EPOCH] <= e).drop(EPOCH)
+    first = {k: upto(v, 0) for k, v in logs.items()}
     keeper = Keeper(node, first)
-    found = {0: evaluate(node, first, dict(keeper.kept))}
+    found = {0: evaluate(node, first, keeper.kept)}
     for e in range(1, last + 1):
-        old = {k: integrate(v, e - 1) for k, v in logs.items()}
+        old = {k: upto(v, e - 1) for k, v in logs.items()}
         x = keeper.step(old, {k: v.where(v[EPOCH] == e).drop(EPOCH) for k, v in logs.items()})
         if x is not None:
             found[e] = x
@@ -191,29 +215,34 @@ def changes(node: A.Node, logs: Relations, last: int) -> dict[int, DataFrame]:
 
 
 class View:
-    """A maintained query. State (base relations, results of inner nodes, result) is kept in durable tables, rewritten at each change."""
+    """A maintained query. State (base relations, results of inner nodes, result) is kept in durable tables: a change
+    writes what changes, and every few changes the parts of a relation are put together."""
 
     def __init__(self, node: A.Node, state: Relations):
         self.node = node
-        self.state = {k: checkpoint(consolidate(v)) for k, v in state.items()}
-        self.keeper = Keeper(node, self.state)
-        self.rows = checkpoint(consolidate(evaluate(node, self.state, self.keeper.kept)))
+        self.state = {k: Parts(v) for k, v in state.items()}
+        self.keeper = Keeper(node, self._state())
+        self.rows = Parts(evaluate(node, self._state(), self.keeper.kept))
+
+    def _state(self) -> dict[str, DataFrame]:
+        return {k: p.df for k, p in self.state.items()}
 
     def apply(self, change: Relations) -> DataFrame:
         """Take a change of base relations; the net change of the result."""
-        change = {k: consolidate(v) for k, v in change.items()}
-        out = self.keeper.step(self.state, change)
-        out = self.rows.limit(0) if out is None else checkpoint(consolidate(out).select(*self.rows.columns))
-        self.rows = checkpoint(consolidate(plus([self.rows, out])))
+        change = {k: checkpoint(consolidate(v)) for k, v in change.items()}
+        out = self.keeper.step(self._state(), change)
+        names = self.rows.df.columns
+        out = self.rows.df.limit(0) if out is None else checkpoint(consolidate(out).select(*names))
+        self.rows.add(out)
         for k, v in change.items():
-            self.state[k] = checkpoint(consolidate(plus([self.state[k], v])))
+            self.state[k].add(v)
         return out
 
     def result(self) -> DataFrame:
-        return self.rows
+        return consolidate(self.rows.df)
 
     def explain(self) -> str:
         return self.node.show()
 
     def names(self) -> list[str]:
-        return columns(self.rows)
+        return columns(self.rows.df)
