@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Changes when the edges do. Edges that are stars from the start are left as they are by the first round."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, class): class is the smallest node of the connected component. Nodes without edges are absent.
 
@@ -21,18 +26,18 @@ def components(edges: DataFrame) -> DataFrame:
     of a component point at its smallest node. Neighbours are never gathered: a step is a minimum per node, joined back.
     """
     edges = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    mark = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = checkpoint(small.distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == tuple(now):
+        now = _mark(edges)
+        if mark == now:
             break
-        mark = tuple(now)
+        mark = now
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("class")).unionByName(roots.select("node", F.col("node").alias("class")))
 
