@@ -166,6 +166,19 @@ def test_a_query_follows_a_document(spark):
     assert doc.status is Status.IDLE
 
 
+def test_polling_by_the_engine(spark, tmp_path):
+    versions, tags = [Q[:1]], ["v1"]
+    doc = document(spark, versions, tags)
+    res = QueryEngine(spark).query("SELECT ?s ?o { ?s <a:p> ?o OPTIONAL { ?s <a:q> ?z } }", [doc], deferred=True)
+    assert isinstance(res.watchers[0], Deferred) and res.poll().count() == 0
+    versions[0], tags[0] = [*Q[:1], ("<a:c>", "<a:p>", '"3"', None)], "v2"
+    assert {(r.s, r[WEIGHT]) for r in res.poll().collect()} == {("<a:c>", 1)}
+    assert res.metadata() == {"cardinality": {"type": "exact", "value": 2}, "variables": [{"variable": "s", "canBeUndef": False}, {"variable": "o", "canBeUndef": False}]}
+    assert QueryEngine(spark).query("SELECT ?s { ?s <a:p> ?o }", [doc], pollingPeriod=3).watchers[0].interval() == 3
+    (tmp_path / "x.nt").write_text("<a:a> <a:p> <a:b> .\nnonsense\n")
+    assert QueryEngine(spark).query("SELECT ?s { ?s <a:p> ?o }", [str(tmp_path / "x.nt")], lenient=True).rows().count() == 1
+
+
 def test_blank_nodes_of_sources_never_join(spark):
     one = cl.lift(spark.createDataFrame([("_:b", "<a:p>", "<a:x>", None)], live.QUAD))
     two = cl.lift(spark.createDataFrame([("_:b", "<a:q>", "<a:y>", None)], live.QUAD))

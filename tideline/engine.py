@@ -12,16 +12,20 @@ from .functions.extension import Registry
 from .plans.compiler import View, evaluate
 from .plans.sparql import QUADS, Parser, compile_query
 from .sources.formats import read_nquads
-from .sources.live import Document, Store, federated
+from .sources.live import Deferred, Document, Polling, Store, choose, federated
 
-OPTIONS = ("sources", "initialBindings", "unionDefaultGraph", "baseIRI", "lenient", "extensionFunctions", "pollingPeriod", "closures", "explain", "readOnly")
+#: deferred: documents are looked at only when poll() is called, not by the clock. pollingPeriod: seconds. lenient: lines
+#: of a file that are no statements are skipped.
+OPTIONS = ("initialBindings", "unionDefaultGraph", "baseIRI", "lenient", "extensionFunctions", "pollingPeriod", "deferred", "closures")
 
 
 class Results:
     """Bindings of a query. changes() is the changelog since the start or since the last call; rows() the current bag."""
 
-    def __init__(self, view: View, names: list[str], engine: QueryEngine, sources: list):
-        self.view, self.names, self._sources = view, names, sources
+    def __init__(self, view: View, names: list[str], maybe: set[str], engine: QueryEngine, sources: list, context: Mapping):
+        self.view, self.names, self.maybe, self._sources = view, names, maybe, sources
+        period, deferred = context.get("pollingPeriod", 10.0), context.get("deferred", False)
+        self.watchers = [choose([(Polling(s, period=period), True), (Deferred(s), deferred)]) for s in sources if isinstance(s, Document)]
         self._pending = [view.result()]
         self._stores: list[tuple[Store, Any]] = []
         self._engine = engine
@@ -41,6 +45,20 @@ class Results:
         self._pending.append(out)
         return out
 
+    def poll(self) -> DataFrame:
+        """Let the watchers of documents look; the net change of the results."""
+        found = []
+        for w in self.watchers:
+            change = w.trigger_update() if isinstance(w, Deferred) else w.poll()
+            if change is not None:
+                found.append(self.push(lift(change) if WEIGHT not in change.columns else change))
+        return consolidate(plus(found)) if found else self.view.result().limit(0)
+
+    def metadata(self) -> dict:
+        """How many rows there are now, and which variables may be unbound."""
+        n = self.view.result().agg({WEIGHT: "sum"}).first()[0] or 0
+        return {"cardinality": {"type": "exact", "value": n}, "variables": [{"variable": v, "canBeUndef": v in self.maybe} for v in self.names]}
+
     def changes(self) -> DataFrame:
         held, self._pending = self._pending or [self.view.result().limit(0)], []
         return consolidate(plus(held))
@@ -69,7 +87,7 @@ class QueryEngine:
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
-    def _quads(self, source) -> DataFrame:
+    def _quads(self, source, lenient: bool = False) -> DataFrame:
         """A weighted quad relation of a store, a document, a DataFrame of quads or a path of N-Triples or N-Quads."""
         if isinstance(source, Store):
             return source.state
@@ -81,7 +99,7 @@ class QueryEngine:
         if isinstance(source, DataFrame):
             return source if WEIGHT in source.columns else lift(source)
         if isinstance(source, str):
-            return lift(read_nquads(self.spark, source))
+            return lift(read_nquads(self.spark, source, strict=not lenient))
         raise NotImplementedError(f"{type(source).__name__} is no source")
 
     def _registry(self, functions) -> Registry | None:
@@ -101,9 +119,9 @@ class QueryEngine:
         if not sources:
             raise ValueError("a query needs a source")
         compiled = self._compile(text, context)
-        given = [self._quads(s) for s in sources]
+        given = [self._quads(s, context.get("lenient", False)) for s in sources]
         quads = given[0] if len(given) == 1 else federated({f"s{i}": q for i, q in enumerate(given)})
-        return Results(View(compiled.node, {QUADS: quads}), compiled.names, self, sources)
+        return Results(View(compiled.node, {QUADS: quads}), compiled.names, compiled.maybe, self, sources, context)
 
     def _compile(self, text: str, context: Mapping):
         return compile_query(
