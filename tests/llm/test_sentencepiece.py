@@ -42,3 +42,13 @@ def test_rows(spark):
     assert all(r.round_trip and r.parity for i, r in rows.items() if i)
     assert codec.encode(df.limit(0)).collect() == []
     assert codec.encode(df, keep=("doc_id", "text", "ids")).columns == ["doc_id", "text", "n_tokens", "ids", "round_trip", "parity"]
+
+
+def test_query_and_stage_verify_every_text(spark):
+    import corpus_pipeline
+
+    got = codec.op7_sentencepiece(spark, "/root/testdata/sf0.001")
+    assert got.where("ids IS NOT NULL").count() == got.where("parity").count() > 0
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(50)] + [(50, None)], "doc_id long, text string")
+    rows = corpus_pipeline.tokens_stage(spark, docs, "").collect()
+    assert [r.parity for r in sorted(rows, key=lambda r: r.doc_id)] == [True] * 50 + [None]

@@ -180,12 +180,12 @@ def _pieces(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, int]]:
         yield start, batch.num_rows
 
 
-def encode(docs, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",), threads: int = 2, verify_every: int = 64):
+def encode(docs, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",), threads: int = 2, verify_every: int = 1):
     """keep + n_tokens int, ids array<int>, round_trip boolean, parity boolean.
 
     round_trip: the ids decode to the text as the model normalises it (for a model that changes nothing, to the text).
-    parity: the reference library gives the same ids; computed for one text in `verify_every` by hash of the text, null
-    for the others, so that a change of library or model shows in every run (0: for none). Kept columns of these names are replaced.
+    parity: the reference library gives the same ids; computed for every text, or, where `verify_every` is more than 1, for
+    one text in so many by hash of the text and null for the others (0: for none). Kept columns of these names are replaced.
     """
     from pyspark.sql import functions as F
 
