@@ -36,6 +36,15 @@ def test_blocks_give_what_one_pass_gives(monkeypatch, n):
     assert np.allclose(whole[0], parts[0], atol=1e-4) and np.allclose(whole[1], parts[1], atol=1e-4)
 
 
+@pytest.mark.parametrize("n", [576, 768, 960, 1152, 19_200, 40_128])
+def test_the_end_of_a_payload_is_in_a_frame(n):
+    quiet, loud = bytes([128]) * n, bytes([128]) * (n - 8) + bytes([255]) * 8
+    assert not np.allclose(audio.log_mel(quiet)[1][-1], audio.log_mel(loud)[1][-1], atol=1)
+    frames = len(audio.log_mel(quiet)[0])
+    n_out = -(-n * audio.UP // audio.DOWN)
+    assert (frames - 1) * audio.HOP + audio.FRAME >= n_out > (frames - 2) * audio.HOP + audio.FRAME
+
+
 def test_hysteresis():
     db = np.array([-50, -5, -2, 0, -5, -7, -5, -5, -50, -1], np.float32)
     assert audio.active_spans(db, -3, -6).tolist() == [[1, 5], [9, 10]]

@@ -9,7 +9,7 @@ with its time span, kept as an Arrow fixed-shape tensor column by write_features
 All work is row-local and runs in blocks of BLOCK samples, so memory doesn't grow with the length of a text.
 
 Defined cases: null counts as the empty text; the empty text is one unit of padding (192 bytes of 32). A silent signal
-has features, and no active span. Equal texts give equal values. Repeated rows stay; an empty table gives an empty table.
+has features, and no active span. Every sample is in a frame; the last frame is filled up with zeros. Equal texts give equal values. Repeated rows stay; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -122,7 +122,7 @@ def log_mel(samples: memoryview | bytes) -> tuple[np.ndarray, np.ndarray]:
     per = HOP * DOWN // UP  # input samples a frame step
     reach = 2 * _RESAMPLER.width * max(1, DOWN)
     n_out = -(-len(x) * UP // DOWN)
-    n_frames = max(1, 1 + (n_out - FRAME) // HOP) if n_out >= FRAME else 1
+    n_frames = 1 + max(0, -(-(n_out - FRAME) // HOP))  # the last one is filled up with zeros
     step = max(1, BLOCK // per)
     mels, dbs = [], []
     for first in range(0, n_frames, step):
