@@ -87,3 +87,12 @@ def test_labels_come_by_the_number_in_the_path(spark):
 def test_whole_table(spark):
     rows = url_filter.op4_url_filter(spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == 250 and {r.verdict for r in rows} <= {"allow", "block"}
+
+
+def test_mostly_bad_labels_still_give_rules(spark):
+    rows = [(f"http://spam.example/{i}", True) for i in range(160)] + [(f"http://good.example/{i}", i % 2 == 0) for i in range(40)]
+    found = url_filter.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert {tuple(r.tokens) for r in found if r.confidence == 1} and not any("good" in t for r in found for t in r.tokens)
+    pages = spark.createDataFrame([("http://spam.example/x",), ("http://good.example/x",)], "url string")
+    got = {r.url: r.verdict for r in url_filter.judge(pages, spark.createDataFrame(rows, "url string, bad boolean"), rules=()).collect()}
+    assert got == {"http://spam.example/x": "block", "http://good.example/x": "allow"}

@@ -2,8 +2,8 @@
 
 Tokens of a URL are its host labels, path segments and query keys. Spark's FP-growth mines the token combinations that
 are frequent among labelled URLs; a combination becomes a rule if a URL with it is bad with at least MIN_CONFIDENCE, in
-at least MIN_SUPPORT of the labelled URLs, and more often than bad URLs are in general (MIN_LIFT), and if no part of it
-already is a rule at least as sure. Rules are matched by an inverted index: each is filed under its rarest token, a URL
+at least MIN_SUPPORT of the labelled URLs, and more often than bad URLs are in general (MIN_LIFT; half way from 1 to the most
+that can be reached, 1 / share of bad URLs, where that is less), and if no part of it already is a rule at least as sure. Rules are matched by an inverted index: each is filed under its rarest token, a URL
 looks its tokens up, and what is found is checked for the other tokens.
 
 The verdict depends on the URL alone, so it is worked out once for each distinct URL and joined back; a URL that makes
@@ -81,8 +81,9 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     # Tokens that are not frequent are in no frequent combination; they go first.
     counts = baskets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support * total)
     items = F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")
+    least_lift = min(min_lift, (1 + total / bad) / 2)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets.select(items))
-    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= min_lift))
+    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= least_lift - 1e-9))
     rules = checkpoint(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
     # A rule goes if another's tokens are a part of its own and that one is as sure. Found by the rules' parts, not by pairs.
     one = rules.select("tokens", "confidence", F.explode("tokens").alias("token"))
