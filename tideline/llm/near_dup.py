@@ -9,8 +9,8 @@ probability 0.9998. Pairs are verified by the exact weighted Jaccard similarity
 
 Document frequencies are counted over all documents in a table of 2**20 hashed counters: its size is the same for any
 corpus, so it can be broadcast, and it resolves a frequency to about a two-thousandth of the corpus. IDF runs from 1/2
-(in every document) to 1 (rare): a large group of copies raises its own shingles' frequencies, and must not fall below
-the threshold because of that.
+(in every document) to 1 (rare). A large group of copies raises its own shingles' frequencies, and a copy's own edits then
+weigh more: the plain similarity that THRESHOLD asks for rises from 0.80 in a pair to 0.85 in a third of 3e7 documents.
 
 Texts with the same words are one node from the start. A class is a connected component of verified pairs.
 
