@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -25,6 +26,8 @@ def shared_root(spark: SparkSession) -> str:
     if root is None:
         current = spark.sparkContext.getCheckpointDir()
         if current is None:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"tideline-{uuid.uuid4().hex}"))
             current = spark.sparkContext.getCheckpointDir()
         root = current
@@ -38,6 +41,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files and checkpoints that nobody refers to, instead of whenever the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Shelf:
     """Parquet tables in the shared folder that live until clear(). For intermediate rows too wide for checkpoint()."""
 

@@ -48,18 +48,17 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return checkpoint(members.join(keys, "key"))
 
 
-def bucket_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column], rounds: int = 4, room: float = 20.0) -> tuple[DataFrame | None, DataFrame | None]:
+def bucket_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column], rounds: int = 4, room: float = 20.0, links: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
     """members (key, node, sketch), each (key, node) once, of buckets of two or more (shared_buckets) -> classes (node, class) of the links within buckets, or None.
 
     A star a bucket and round: all members are verified against one centre, another one each round, until every bucket
     lies in one class. Members of one class need no further pair. What is left after `rounds`, or as soon as it is small
     (`room` pairs a member), is settled exactly: all pairs of different classes in a bucket whose sketches are alike.
     So the work is linear in a large bucket of copies, and no link that the buckets hold is lost. verify gets and
-    returns (a, b), a < b. The second result holds the verified pairs.
+    returns (a, b), a < b. The second result holds the verified pairs. `links` that are known already come first.
     """
     open_ = members.select("key", "node", "sketch")
-    links: DataFrame | None = None
-    classes: DataFrame | None = None
+    classes: DataFrame | None = None if links is None else components(links)
     tried: DataFrame | None = None
     for turn in range(rounds + 1):
         held = open_.withColumn("class", F.col("node")) if classes is None else open_.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
