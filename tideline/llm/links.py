@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, release
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -19,13 +21,67 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+#: Edges that one task takes (16 bytes each).
+TASK = 1 << 21
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of edges; the smallest ones themselves are left out."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        for end in (x, y):
+            np.minimum.at(new, end, low)
+            np.minimum.at(new, label[end], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[moved], ids[label[moved]]
+
+
+def _forests(edges: DataFrame) -> DataFrame:
+    """Within each task, runs of up to TASK edges become stars around the smallest node of their components."""
+
+    def run(it):
+        held: list[pa.RecordBatch] = []
+        for batch in it:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= TASK:
+                yield made(held)
+                held = []
+        if held:
+            yield made(held)
+
+    def made(held):
+        a, b = (np.concatenate([x.column(x.schema.get_field_index(c)).to_numpy() for x in held]) for c in "ab")
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _forest(a, b)], names=["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, class): class is the smallest node of the connected component. Nodes without edges are absent.
 
-    Alternating large-star and small-star steps: each rewires edges towards the smallest known neighbour until all edges
-    of a component point at its smallest node. Neighbours are never gathered: a step is a minimum per node, joined back.
+    Tasks first reduce their own edges to stars. What is left, where it is more than one task takes, goes through alternating
+    large-star and small-star steps: each rewires edges towards the smallest known neighbour until all edges of a component
+    point at its smallest node. Neighbours are never gathered: a step is a minimum per node, joined back.
     """
-    edges = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = checkpoint(_forests(edges.where("a <> b")).distinct())
+    if edges.count() <= TASK:
+        edges = checkpoint(_forests(edges.coalesce(1)))
+    else:
+        edges = _stars(edges)
+    roots = edges.select(F.col("b").alias("node")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("class")).unionByName(roots.select("node", F.col("node").alias("class")))
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """Distinct edges (a, b), a > b, as stars around the smallest node of each component."""
     mark = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -36,10 +92,22 @@ def components(edges: DataFrame) -> DataFrame:
         edges = checkpoint(small.distinct())
         now = _mark(edges)
         if mark == now:
-            break
+            return edges
         mark = now
-    roots = edges.select(F.col("b").alias("node")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("class")).unionByName(roots.select("node", F.col("node").alias("class")))
+
+
+def merged(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The classes of components(), after further links (a, b): only the classes that these join are worked on."""
+    if classes is None:
+        return components(links)
+    for x in "ab":
+        links = links.join(classes.select(F.col("node").alias(x), F.col("class").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    between = checkpoint(links.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if between.isEmpty():
+        return classes
+    up = checkpoint(components(between))
+    moved = classes.join(up.select(F.col("node").alias("class"), F.col("class").alias("to")), "class", "left").select("node", F.coalesce("to", "class").alias("class"))
+    return checkpoint(moved.unionByName(up.join(classes.select("node"), "node", "left_anti").select("node", "class")))
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
@@ -48,19 +116,18 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return checkpoint(members.join(keys, "key"))
 
 
-def bucket_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column], rounds: int = 4, room: float = 20.0, links: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+def bucket_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column], rounds: int = 4, room: float = 20.0, classes: DataFrame | None = None) -> DataFrame | None:
     """members (key, node, sketch), each (key, node) once, of buckets of two or more (shared_buckets) -> classes (node, class) of the links within buckets, or None.
 
     A star a bucket and round: all members are verified against one centre, another one each round, until every bucket
     lies in one class. Members of one class need no further pair. What is left after `rounds`, or as soon as it is small
     (`room` pairs a member), is settled exactly: all pairs of different classes in a bucket whose sketches are alike.
     So the work is linear in a large bucket of copies, and no link that the buckets hold is lost. verify gets and
-    returns (a, b), a < b. The second result holds the verified pairs. `links` that are known already come first.
+    returns (a, b), a < b. `classes` holds what is known already: the links of a star around each bucket's smallest node at least.
     """
     open_ = members.select("key", "node", "sketch")
-    classes: DataFrame | None = None if links is None else components(links)
     tried: DataFrame | None = None
-    for turn in range(rounds + 1):
+    for turn in range(0 if classes is None else 1, rounds + 1):
         held = open_.withColumn("class", F.col("node")) if classes is None else open_.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
         order = F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("order"), "node", "class", "sketch")
         stars = held.groupBy("key").agg(F.min(order).alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
@@ -83,9 +150,8 @@ def bucket_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = checkpoint(pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = checkpoint(verify(pairs).select("a", "b"))
-        links = found if links is None else links.unionByName(found)
-        classes = components(links)
+        classes = merged(classes, checkpoint(verify(pairs).select("a", "b")))
+        release(members.sparkSession)
         if turn == rounds:
             break
-    return classes, links
+    return classes

@@ -245,7 +245,7 @@ def node_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame | N
         # One text a node: the first is taken before the shuffle, so a text with many copies moves once a task.
         texts = live.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node", "left_semi")
         vecs = shelf.put("vectors", vectors(texts))
-        classes, _ = bucket_classes(members, lambda p: similar_pairs(p, vecs, counters, documents, threshold), lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= MOST_BITS)
+        classes = bucket_classes(members, lambda p: similar_pairs(p, vecs, counters, documents, threshold), lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= MOST_BITS)
         return None if classes is None else checkpoint(classes)
     finally:
         shelf.clear()
