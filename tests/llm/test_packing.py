@@ -83,3 +83,12 @@ def test_files(spark, tmp_path):
             assert ids[i, : r.n_tokens].tobytes() == bytes(r.ids) and (ids[i, r.n_tokens :] == packing.END).all()
             assert cu[at[i] : at[i + 1]].tolist() == r.cu_seqlens
             assert np.flatnonzero(pos[i, : r.n_tokens] == 0).tolist() == r.position_resets
+
+
+def test_long_white_space_and_repeated_rows(spark):
+    tok = packing.encoder(packing.VOCABULARY)
+    text = "a" + " " * 2_000_000 + "b" + "\n" * 5000 + "c"
+    assert tok.decode(packing.encoded(tok, text)) == text
+    assert packing.encoded(tok, "x  y\n\n z") == tok.encode_ordinary("x  y\n\n z")
+    docs = spark.createDataFrame([(None, "the same few words")] * 64, "doc_id long, text string").coalesce(1)
+    assert packing.tokenised(docs, 8).select("shard").distinct().count() > 4

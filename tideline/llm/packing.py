@@ -1,7 +1,8 @@
 """Token ids packed into rows of fixed length by best-fit decreasing.
 
 Texts are tokenised in byte-bounded batches; a document longer than a row is split into pieces of at most LENGTH tokens,
-losing none. Pieces are spread over shards by hash; a shard holds about SHARD tokens whatever the size of the table, is
+losing none. Pieces are spread over shards by a hash of id, tokens and, among equal pieces of a task, number, so that neither
+null ids nor repeated rows fill one shard; a shard holds about SHARD tokens whatever the size of the table, is
 packed in one task and needs no other. Within a shard pieces go in order of decreasing length into the row with the
 least room that still holds them; a segment tree over rooms finds that row in the logarithm of LENGTH.
 
@@ -11,11 +12,13 @@ to 0 at every segment (a later piece of a split document too, as attention doesn
 matrices as .npy files.
 
 Defined cases: null and empty texts have no tokens and are in no row. A null doc_id stays null. Rows that repeat are
-packed as often. Special tokens written in a text are ordinary text. An empty table gives no rows; extra columns aren't read.
+packed as often. White space in runs of over BLANKS is encoded in parts. Special tokens written in a text are ordinary text. An empty table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,6 +51,22 @@ def encoder(path: str, pattern: str = PATTERN):
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: White space that is encoded at once: the pattern's look-ahead recurs once a character, and a run of a million ends the worker.
+BLANKS = 4096
+_LONG_BLANKS = re.compile(rf"\s{{{BLANKS + 1},}}")
+
+
+def encoded(tok, text: str) -> list[int]:
+    """Token ids; runs of over BLANKS white-space characters are cut, their last character stays with what follows."""
+    ids, at = [], 0
+    for m in _LONG_BLANKS.finditer(text):
+        ids += tok.encode_ordinary(text[at : m.start()])
+        at = m.end() - 1
+        for lo in range(m.start(), at, BLANKS):
+            ids += tok.encode_ordinary(text[lo : min(lo + BLANKS, at)])
+    return ids + tok.encode_ordinary(text[at:])
+
+
 class RoomTree:
     """Rows by room: a segment tree over rooms 0..size that answers `the least room of at least n that some row has`."""
 
@@ -115,6 +134,7 @@ def tokenised(docs: DataFrame, shards: int, length: int = LENGTH, vocabulary: st
         import zlib
 
         tok = encoder(vocabulary)
+        seen: Counter[int] = Counter()
         kind = np.uint16 if tok.max_token_value < 65536 and (end or 0) < 65536 else np.uint32
         for batch in it:
             for part in hashing.slices(batch, "text"):
@@ -123,13 +143,15 @@ def tokenised(docs: DataFrame, shards: int, length: int = LENGTH, vocabulary: st
                 for doc, text in zip(part.column(part.schema.get_field_index("doc_id")).to_pylist(), texts):
                     if not text:
                         continue
-                    ids = tok.encode_ordinary(text)
+                    ids = encoded(tok, text)
                     if end is not None:
                         ids.append(end)
                     ids = np.array(ids, kind)
                     for k, at in enumerate(range(0, len(ids), length)):
                         own = ids[at : at + length]
-                        out["shard"].append(zlib.crc32(f"{doc}:{k}".encode()) % shards)
+                        key = zlib.crc32(own.tobytes(), zlib.crc32(f"{doc}:{k}".encode()))
+                        seen[key] += 1
+                        out["shard"].append(zlib.crc32(str(seen[key]).encode(), key) % shards)
                         out["doc_id"].append(doc)
                         out["piece"].append(k)
                         out["n"].append(len(own))
