@@ -84,3 +84,32 @@ def test_written_tensors_are_read_back(spark, tmp_path):
     assert sum(f.documents for f in files) == 2
     rows = pa.ipc.open_file(files[0].path).read_all()
     assert rows.num_rows == files[0].tensors and set(rows["doc_id"].to_pylist()) == {1, 2}
+
+
+def test_log_mel_equals_the_definition():
+    """Direct convolution, a written-out Fourier sum and filters from their corner frequencies."""
+    samples = bytes(np.random.default_rng(4).integers(0, 256, 1920, dtype=np.uint8))
+    x = (np.frombuffer(samples, np.uint8).astype(float) - 128) / 128
+    taps = audio.lowpass()
+    half = (len(taps) - 1) // 2
+    y = np.array([sum(taps[half + k] * x[m - k] for k in range(-half, half + 1) if 0 <= m - k < len(x)) for m in range(0, len(x), audio.DOWN)])
+    frames = 1 + -(-(len(y) - audio.FRAME) // audio.HOP)
+    y = np.pad(y, (0, (frames - 1) * audio.HOP + audio.FRAME - len(y)))
+    bins = np.exp(-2j * np.pi * np.outer(np.arange(audio.FRAME // 2 + 1), np.arange(audio.FRAME)) / audio.FRAME)
+    rate = audio.RATE // audio.DOWN
+    corners = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + rate / 2 / 700), audio.N_MELS + 2) / 2595) - 1)
+    want = np.zeros((frames, audio.N_MELS))
+    for i in range(frames):
+        power = np.abs(bins @ (y[i * audio.HOP : i * audio.HOP + audio.FRAME] * np.hanning(audio.FRAME))) ** 2
+        for m in range(audio.N_MELS):
+            low, mid, high = corners[m : m + 3]
+            for k, f in enumerate(np.arange(audio.FRAME // 2 + 1) * rate / audio.FRAME):
+                want[i, m] += power[k] * max(0, min((f - low) / (mid - low), (high - f) / (high - mid)))
+    mel, db = audio.log_mel(samples)
+    assert np.allclose(mel, np.log(want + 1e-6), atol=2e-3) and len(db) == frames
+
+
+def test_the_last_byte_changes_the_feature():
+    for n in (192, 1920, 1984, 5000):
+        one, two = "a" * n, "a" * (n - 1) + "z"
+        assert audio._row(one)[-1] != audio._row(two)[-1]

@@ -177,10 +177,14 @@ def features(samples: memoryview | bytes, rate: int = RATE) -> dict:
 
 
 def digest(found: dict) -> str:
-    """Frames, tensors, active spans and their seconds, and the mean log-mel vector to two decimals."""
+    """Frames, tensors with their spans, active spans and their seconds, and the mean log-mel vector to two decimals; tensors and
+    spans as a hash of all their values, to the hundredth and the millisecond."""
     mean = ",".join(f"{v:.2f}" for v in found["mel"].mean(axis=0, dtype=np.float64) + 0.0)
     active = found["active"]
-    return f"frames={len(found['mel'])};tensors={len(found['tensors'])};active={len(active)};seconds={float((active[:, 1] - active[:, 0]).sum()):.3f};mel={mean}"
+    sha = hashlib.sha256(np.round(found["tensors"] * 100).astype("<i4").tobytes())
+    for spans in (found["spans"], active):
+        sha.update(np.round(spans * 1000).astype("<i8").tobytes())
+    return f"frames={len(found['mel'])};content={sha.hexdigest()[:32]};tensors={len(found['tensors'])};active={len(active)};seconds={float((active[:, 1] - active[:, 0]).sum()):.3f};mel={mean}"
 
 
 def tensor_table(ids: list, found: list[dict]) -> pa.Table:
