@@ -8,7 +8,7 @@ import sentencepiece
 import corpus_pipeline
 from tideline.llm import quality, sentencepiece_codec
 
-from .test_line_dedup import brute as removed_lines
+from .test_line_dedup import every_pair
 from .test_mixing import brute_targets
 from .test_near_dup import brute_classes
 
@@ -34,7 +34,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert sorted((r.doc_id, r.text) for r in first) == sorted(want)
     assert all(r.n_chars == len(r.text) for r in first)
 
-    gone = set(removed_lines(sorted(want)))
+    gone = set(every_pair(spark, sorted(want)))
     want = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in want}
     assert {r.doc_id: r.text for r in second} == want and len(second) == len(want)
 
