@@ -147,3 +147,31 @@ def test_results_follow_a_store(spark):
     assert as_set(res.retract()) == {(iri("alice"), f'"2"{INT}', -1)}
     store.remove([(iri("alice"), iri("likes"), '"jam"', None)])
     assert res.rows().count() == 1  # closed: not followed any more
+
+
+def test_unbound_variables_fit_anything(spark, quads):
+    chain = "SELECT ?s ?v { ?s :likes 'tea' OPTIONAL { ?s :name ?v } OPTIONAL { ?s :age ?v } }"
+    assert ask(spark, quads, chain) == sorted([(iri("alice"), '"Alice"@en'), (iri("alice"), '"Alix"@fr'), (iri("bob"), f'"25"{INT}')], key=repr)
+    # eve's age is no number, so ?n is unbound and fits any age.
+    some = "SELECT ?s { ?s :age ?a OPTIONAL { ?s :age ?n FILTER(?n > 0) } FILTER %sEXISTS { ?o :age ?n ; :likes 'jam' } }"
+    assert ask(spark, quads, some % "") == [(iri("alice"),), (iri("eve"),)]
+    assert ask(spark, quads, some % "NOT ") == [(iri("bob"),)]
+    older = "SELECT ?s { ?s :age ?n FILTER %sEXISTS { ?o :age ?m FILTER(?m > ?n) } }"
+    assert ask(spark, quads, older % "") == [(iri("bob"),)]
+    assert ask(spark, quads, older % "NOT ") == [(iri("alice"),), (iri("eve"),)]
+
+
+def test_stores_together_follow_changes(spark):
+    one, two = Store(spark), Store(spark)
+    for s in (one, two):
+        s.add([("_:x", iri("p"), '"see _:y"', None), (f"<< _:x {iri('p')} _:z >>", iri("q"), "_:x", "_:g")])
+    res = QueryEngine(spark).query(f"SELECT ?s ?o {{ ?s <{X}p> ?o }}", [one, two])
+    rows = sorted(tuple(r) for r in res.rows().collect())
+    assert len({s for s, _ in rows}) == 2 and {o for _, o in rows} == {'"see _:y"'}
+    one.remove([("_:x", iri("p"), '"see _:y"', None)])
+    two.add([("_:x", iri("p"), '"more"', None)])
+    left = sorted(tuple(r) for r in res.rows().collect())
+    assert len(left) == 2 and len({s for s, _ in left}) == 1 and set(s for s, _ in left) < {s for s, _ in rows}
+    q = QueryEngine(spark).query(f"SELECT ?t ?o {{ GRAPH ?g {{ ?t <{X}q> ?o }} }}", [one, two])
+    for r in q.rows().collect():
+        assert r.t.startswith(f"<< {r.o} ") and r.t.count(r.o[:34]) == 2

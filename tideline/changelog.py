@@ -119,6 +119,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         if spark.sparkContext.getCheckpointDir() is None:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"tideline-{uuid.uuid4().hex}"))
         root = spark.sparkContext.getCheckpointDir()
     return root

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import partial
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from .functions.extension import Registry
 from .plans.compiler import View, evaluate
 from .plans.sparql import QUADS, Parser, compile_query
 from .sources.formats import read_nquads
-from .sources.live import Deferred, Document, Polling, Store, choose, federated
+from .sources.live import Deferred, Document, Polling, Store, choose, federated, skolemise
 
 #: deferred: documents are looked at only when poll() is called, not by the clock. pollingPeriod: seconds. lenient: lines
 #: of a file that are no statements are skipped.
@@ -30,18 +31,23 @@ class Results:
         self._stores: list[tuple[Store, Any]] = []
         self._engine = engine
         self.closed = False
+        # Of several sources each has its own blank nodes, at the start and in changes.
+        self._keys = {id(s): f"s{i}" for i, s in enumerate(sources)} if len(sources) > 1 else {}
         for s in sources:
             if isinstance(s, Store):
-                s.listeners.append(f := self._on_change)
+                s.listeners.append(f := partial(self._on_change, s))
                 self._stores.append((s, f))
 
-    def _on_change(self, change: DataFrame) -> None:
+    def _own(self, change: DataFrame, source) -> DataFrame:
+        return skolemise(change, self._keys[id(source)]) if id(source) in self._keys else change
+
+    def _on_change(self, source, change: DataFrame) -> None:
         if not self.closed:
-            self._pending.append(self.view.apply({QUADS: change}))
+            self._pending.append(self.view.apply({QUADS: self._own(change, source)}))
 
-    def push(self, change: DataFrame) -> DataFrame:
-        """Take a change that a watcher found; the net change of the results."""
-        out = self.view.apply({QUADS: change})
+    def push(self, change: DataFrame, source=None) -> DataFrame:
+        """Take a change that a watcher found in a source; the net change of the results."""
+        out = self.view.apply({QUADS: self._own(change, source)})
         self._pending.append(out)
         return out
 
@@ -51,7 +57,7 @@ class Results:
         for w in self.watchers:
             change = w.trigger_update() if isinstance(w, Deferred) else w.poll()
             if change is not None:
-                found.append(self.push(lift(change) if WEIGHT not in change.columns else change))
+                found.append(self.push(lift(change) if WEIGHT not in change.columns else change, w.document))
         return consolidate(plus(found)) if found else self.view.result().limit(0)
 
     def metadata(self) -> dict:

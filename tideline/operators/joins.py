@@ -50,8 +50,9 @@ def inner_delta(a_old: DataFrame, da: DataFrame, b_old: DataFrame, db: DataFrame
     return consolidate(plus([inner(da, b_new, keys), inner(a_old, db, keys)]))
 
 
-def compatible(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """Rows whose shared columns agree or are unbound on a side; the result takes the bound value.
+def compatible(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None, loose: Sequence[str] | None = None) -> DataFrame:
+    """Rows whose shared columns agree or are unbound on a side; the result takes the bound value. loose: the keys that can be
+    unbound (all, if not given).
 
     Rows with all keys bound on both sides go through an equality join; only rows with an unbound key, on whichever
     side, are compared with the other side's rows, by equality of the keys bound in both.
@@ -59,6 +60,7 @@ def compatible(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None) ->
     keys = shared(a, b) if keys is None else list(keys)
     if not keys:
         return inner(a, b, [])
+    may = list(keys) if loose is None else [k for k in keys if k in loose]
     out = [*columns(a), *[x for x in columns(b) if x not in keys]]
 
     def bound(df: DataFrame) -> Column:
@@ -70,19 +72,18 @@ def compatible(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None) ->
     def by_pattern(left: DataFrame, right: DataFrame) -> DataFrame:
         """One equality join for each set of keys bound on both sides."""
         parts = []
-        for mask in range(1 << len(keys)):
-            for other in range(1 << len(keys)):
-                if mask == other == (1 << len(keys)) - 1:
+        for mask in range(1 << len(may)):
+            for other in range(1 << len(may)):
+                if mask == other == (1 << len(may)) - 1:
                     continue
                 x, y = left, right
-                for i, k in enumerate(keys):
+                for i, k in enumerate(may):
                     x = x.where(c(k).isNotNull() if mask >> i & 1 else c(k).isNull())
                     y = y.where(c(k).isNotNull() if other >> i & 1 else c(k).isNull())
-                both = [k for i, k in enumerate(keys) if mask >> i & 1 and other >> i & 1]
-                loose = [k for k in keys if k not in both]
-                y = y.withColumnsRenamed({k: f"__r_{k}" for k in loose})
-                j = inner(x, y, both)
-                j = j.withColumns({k: F.coalesce(c(k), c(f"__r_{k}")) for k in loose})
+                free = [k for i, k in enumerate(may) if not (mask >> i & 1 and other >> i & 1)]
+                y = y.withColumnsRenamed({k: f"__r_{k}" for k in free})
+                j = inner(x, y, [k for k in keys if k not in free])
+                j = j.withColumns({k: F.coalesce(c(k), c(f"__r_{k}")) for k in free})
                 parts.append(j.select(*[c(n) for n in out], WEIGHT))
         return plus(parts)
 
@@ -95,18 +96,38 @@ def _counted(b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return b.groupBy(*[c(k) for k in keys]).agg(F.sum(WEIGHT).alias("__n")).where(F.col("__n") > 0).select(*[c(k).alias(k) for k in keys])
 
 
-def semi(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """Left rows, with their weights, whose key the right side has (EXISTS). Without keys: all, if the right side has rows."""
+def _partners(a: DataFrame, b: DataFrame, keys: Sequence[str], loose: Sequence[str], condition: Column | None) -> DataFrame:
+    """Joined rows, where keys among `loose` fit anything if unbound on a side; __l_<key> keeps what the left row had."""
+    marked = a.withColumns({f"__l_{k}": c(k) for k in keys}) if loose else a
+    joined = compatible(marked, b, keys, loose) if loose else inner(marked, b, keys)
+    return joined if condition is None else joined.where(condition)
+
+
+def _with_partners(a: DataFrame, joined: DataFrame, keys: Sequence[str], loose: Sequence[str]) -> DataFrame:
+    """The left rows of joined ones."""
+    own = [c(f"__l_{x}").alias(x) if loose and x in keys else c(x) for x in columns(a)]
+    return consolidate(joined.select(*own, WEIGHT))
+
+
+def semi(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None, condition: Column | None = None, loose: Sequence[str] = ()) -> DataFrame:
+    """Left rows, with their weights, whose key the right side has (EXISTS). Without keys: all, if the right side has rows. A
+    condition is on columns of both rows; keys among `loose` fit anything if unbound."""
     keys = shared(a, b) if keys is None else list(keys)
+    if condition is not None or loose:
+        b = b if condition is not None else _counted(b, keys).withColumn(WEIGHT, F.lit(1).cast("long"))
+        return touched(a, _with_partners(a, _partners(a, b, keys, loose, condition), keys, loose), columns(a))
     if not keys:
         some = b.agg(F.coalesce(F.sum(WEIGHT), F.lit(0)).alias("__n")).where("__n > 0")
         return a.crossJoin(F.broadcast(some)).drop("__n")
     return touched(a, _counted(b, keys), keys)
 
 
-def anti(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """Left rows whose key the right side lacks (NOT EXISTS). Null equals null."""
+def anti(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None, condition: Column | None = None, loose: Sequence[str] = ()) -> DataFrame:
+    """Left rows that semi leaves (NOT EXISTS). Null equals null in keys that are not loose."""
     keys = shared(a, b) if keys is None else list(keys)
+    if condition is not None or loose:
+        b = b if condition is not None else _counted(b, keys).withColumn(WEIGHT, F.lit(1).cast("long"))
+        return anti(a, _with_partners(a, _partners(a, b, keys, loose, condition), keys, loose), columns(a))
     if not keys:
         none = b.agg(F.coalesce(F.sum(WEIGHT), F.lit(0)).alias("__n")).where("__n <= 0")
         return a.crossJoin(F.broadcast(none)).drop("__n")
@@ -123,22 +144,20 @@ def minus_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return anti(a, b, keys) if keys else a
 
 
-def left(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None, condition: Column | None = None) -> DataFrame:
+def left(a: DataFrame, b: DataFrame, keys: Sequence[str] | None = None, condition: Column | None = None, loose: Sequence[str] = ()) -> DataFrame:
     """OPTIONAL: joined rows, and left rows without a partner padded with nulls. The condition, on columns of the joined
-    row, decides about partners."""
+    row, decides about partners. Keys among `loose` fit anything if unbound on a side, and take the bound value."""
     keys = shared(a, b) if keys is None else list(keys)
     rest = [x for x in columns(b) if x not in keys]
-    if condition is None and keys:
+    if condition is None and keys and not loose:
         a, b = _aliased(a, b)
         cond = F.lit(True)
         for k in keys:
             cond = cond & (a[f"`{k}`"] == b[f"`{k}`"])
         return _multiplied(a.join(b, cond, "left"), a, b, columns(a), rest)
-    joined = inner(a, b, keys)
-    if condition is not None:
-        joined = joined.where(condition)
-    matched = consolidate(joined.select(*[c(x) for x in columns(a)], WEIGHT))
-    bare = anti(a, matched, columns(a))
+    joined = _partners(a, b, keys, loose, condition)
+    bare = anti(a, _with_partners(a, joined, keys, loose), columns(a))
+    joined = joined.drop(*[f"__l_{k}" for k in keys]) if loose else joined
     kinds = dict(b.dtypes)
     return plus([joined, bare.withColumns({x: F.lit(None).cast(kinds[x]) for x in rest})])
 
@@ -155,14 +174,19 @@ def _key_delta(op, a_old: DataFrame, da: DataFrame, b_old: DataFrame, db: DataFr
     return minus(op(a1, b1), op(a0, b0))
 
 
-def semi_delta(a_old, da, b_old, db, keys=None) -> DataFrame:
+def _touching(keys: Sequence[str], loose: Sequence[str]) -> list[str]:
+    """The keys by which a change finds the rows it touches: an unbound key touches rows of any value."""
+    return [k for k in keys if k not in loose]
+
+
+def semi_delta(a_old, da, b_old, db, keys=None, condition=None, loose=()) -> DataFrame:
     keys = shared(a_old, b_old) if keys is None else keys
-    return _key_delta(lambda a, b: semi(a, b, keys), a_old, da, b_old, db, keys)
+    return _key_delta(lambda a, b: semi(a, b, keys, condition, loose), a_old, da, b_old, db, _touching(keys, loose))
 
 
-def anti_delta(a_old, da, b_old, db, keys=None) -> DataFrame:
+def anti_delta(a_old, da, b_old, db, keys=None, condition=None, loose=()) -> DataFrame:
     keys = shared(a_old, b_old) if keys is None else keys
-    return _key_delta(lambda a, b: anti(a, b, keys), a_old, da, b_old, db, keys)
+    return _key_delta(lambda a, b: anti(a, b, keys, condition, loose), a_old, da, b_old, db, _touching(keys, loose))
 
 
 def minus_delta(a_old, da, b_old, db) -> DataFrame:
@@ -170,14 +194,14 @@ def minus_delta(a_old, da, b_old, db) -> DataFrame:
     return anti_delta(a_old, da, b_old, db, keys) if keys else consolidate(da)
 
 
-def left_delta(a_old, da, b_old, db, keys=None, condition=None) -> DataFrame:
+def left_delta(a_old, da, b_old, db, keys=None, condition=None, loose=()) -> DataFrame:
     keys = shared(a_old, b_old) if keys is None else keys
-    return _key_delta(lambda a, b: left(a, b, keys, condition), a_old, da, b_old, db, keys)
+    return _key_delta(lambda a, b: left(a, b, keys, condition, loose), a_old, da, b_old, db, _touching(keys, loose))
 
 
-def compatible_delta(a_old, da, b_old, db, keys=None) -> DataFrame:
+def compatible_delta(a_old, da, b_old, db, keys=None, loose=None) -> DataFrame:
     """Bilinear, like inner_delta."""
-    return consolidate(plus([compatible(da, consolidate(plus([b_old, db])), keys), compatible(a_old, db, keys)]))
+    return consolidate(plus([compatible(da, consolidate(plus([b_old, db])), keys, loose), compatible(a_old, db, keys, loose)]))
 
 
 __all__ = ["anti", "anti_delta", "compatible", "compatible_delta", "inner", "inner_delta", "left", "left_delta", "minus_delta", "minus_rows", "negate", "semi", "semi_delta", "shared"]

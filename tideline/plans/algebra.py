@@ -73,13 +73,15 @@ class Union(Node):
 
 @dataclass
 class Join(Node):
-    """kind: inner, left, semi, anti, minus, compatible. keys: None for the shared columns."""
+    """kind: inner, left, semi, anti, minus, compatible. keys: None for the shared columns; loose: those of them that can be unbound
+    and then fit anything (left, semi, anti, compatible)."""
 
     left: Node
     right: Node
     kind: str = "inner"
     keys: Sequence[str] | None = None
     condition: Column | None = None
+    loose: Sequence[str] | None = None
 
 
 @dataclass

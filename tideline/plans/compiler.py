@@ -52,15 +52,15 @@ def evaluate(node: A.Node, state: Relations, kept: Kept | None = None) -> DataFr
             return r.project(ev(child), names)
         case A.Union(parts):
             return plus([ev(p) for p in parts])
-        case A.Join(left, right, kind, keys, condition):
+        case A.Join(left, right, kind, keys, condition, loose):
             a, b = ev(left), ev(right)
             if kind == "inner":
                 out = j.inner(a, b, keys)
                 return out if condition is None else out.where(condition)
             if kind == "compatible":
-                return j.compatible(a, b, keys)
+                return j.compatible(a, b, keys, loose)
             a, b = consolidate(a), consolidate(b)
-            return {"left": lambda: j.left(a, b, keys, condition), "semi": lambda: j.semi(a, b, keys), "anti": lambda: j.anti(a, b, keys), "minus": lambda: j.minus_rows(a, b)}[kind]()
+            return {"left": lambda: j.left(a, b, keys, condition, loose or ()), "semi": lambda: j.semi(a, b, keys, condition, loose or ()), "anti": lambda: j.anti(a, b, keys, condition, loose or ()), "minus": lambda: j.minus_rows(a, b)}[kind]()
         case A.Group(child, keys, aggs):
             return g.group(ev(child), keys, aggs)
         case A.Distinct(child):
@@ -121,7 +121,7 @@ def _delta(node: A.Node, old: Relations, change: Relations, kept: Kept | None, m
             # Columns of parts that don't change are unbound in the change.
             shape = evaluate(node, old, kept).limit(0)
             return plus([shape, *found]).select(*shape.columns)
-        case A.Join(left, right, kind, keys, condition):
+        case A.Join(left, right, kind, keys, condition, loose):
             da, db = d(left), d(right)
             if da is None and db is None:
                 return None
@@ -130,9 +130,11 @@ def _delta(node: A.Node, old: Relations, change: Relations, kept: Kept | None, m
             if kind == "inner":
                 out = j.inner_delta(a, da, b, db, keys)
                 return out if condition is None else out.where(condition)
-            if kind == "left":
-                return j.left_delta(a, da, b, db, keys, condition)
-            return {"compatible": j.compatible_delta, "semi": j.semi_delta, "anti": j.anti_delta}[kind](a, da, b, db, keys) if kind != "minus" else j.minus_delta(a, da, b, db)
+            if kind == "compatible":
+                return j.compatible_delta(a, da, b, db, keys, loose)
+            if kind == "minus":
+                return j.minus_delta(a, da, b, db)
+            return {"left": j.left_delta, "semi": j.semi_delta, "anti": j.anti_delta}[kind](a, da, b, db, keys, condition, loose or ())
         case A.Group(child, keys, aggs):
             return None if (x := d(child)) is None else g.group_delta(was(child), x, keys, aggs)
         case A.Distinct(child):

@@ -845,10 +845,10 @@ class Compiler:
         if a is None:
             return b
         both = [n for n in a.names if n in b.names]
-        loose = any(n in a.maybe or n in b.maybe for n in both)
+        loose = [n for n in both if n in a.maybe or n in b.maybe]
         names = [*a.names, *[n for n in b.names if n not in a.names]]
         maybe = {n for n in a.maybe | b.maybe if (n not in a.names or n in a.maybe) and (n not in b.names or n in b.maybe)}
-        return Compiled(A.Join(a.node, b.node, "compatible" if loose else "inner", both), names, maybe)
+        return Compiled(A.Join(a.node, b.node, "compatible" if loose else "inner", both, loose=loose or None), names, maybe)
 
     def unit(self) -> Compiled:
         return Compiled(A.Inline(lift(self.spark.range(1)).drop("id")), [])
@@ -873,9 +873,20 @@ class Compiler:
             if f[0] == "filter":
                 out = Compiled(A.Filter(out.node, Expressions(out.names, self.extensions).value(f[1]).truth()), out.names, out.maybe)
             else:
-                inner = self.group(f[1], graph)
+                # A filter of the pattern that names a variable of the outer row only is about both rows.
+                own = [x for x in f[1] if x[0] != "filter"]
+                inner = self.group(own, graph)
+                lifted = [x for x in f[1] if x[0] == "filter" and set(_named(x[1])) & set(out.names) - set(inner.names)]
+                rest = [x for x in f[1] if x not in lifted]
+                inner = self.group(rest, graph) if len(rest) > len(own) else inner
+                names = [*out.names, *[n for n in inner.names if n not in out.names]]
+                test = None
+                for x in lifted:
+                    one = F.coalesce(Expressions(names, self.extensions).value(x[1]).truth(), F.lit(False))
+                    test = one if test is None else test & one
                 shared = [n for n in out.names if n in inner.names]
-                out = Compiled(A.Join(out.node, inner.node, f[0], shared), out.names, out.maybe)
+                loose = [n for n in shared if n in out.maybe or n in inner.maybe]
+                out = Compiled(A.Join(out.node, inner.node, f[0], shared, test, loose or None), out.names, out.maybe)
         return out
 
     def step(self, out: Compiled | None, item: tuple, graph) -> Compiled:
@@ -912,7 +923,8 @@ class Compiler:
                         test = F.coalesce(Expressions(names, self.extensions).value(f[1]).truth(), F.lit(False))
                         cond = test if cond is None else cond & test
                 shared = [n for n in out.names if n in right.names]
-                return Compiled(A.Join(out.node, right.node, "left", shared, cond), names, out.maybe | {n for n in right.names if n not in out.names})
+                loose = [n for n in shared if n in out.maybe or n in right.maybe]
+                return Compiled(A.Join(out.node, right.node, "left", shared, cond, loose or None), names, out.maybe | {n for n in right.names if n not in out.names})
             case ("minus", inner):
                 out = out or self.unit()
                 right = self.group(inner, graph)
@@ -1038,6 +1050,13 @@ def _variables(x) -> list[str]:
     return []
 
 
+def _named(e) -> list[str]:
+    """Variables of an expression."""
+    if isinstance(e, (list, tuple)):
+        return [n for x in e for n in _named(x)]
+    return _variables(e) or (_named(e.args) if isinstance(e, Op) else [])
+
+
 def _aggregates(e) -> list[Op]:
     if not isinstance(e, Op):
         return []

@@ -615,6 +615,24 @@ def sparql_union_exists_slice(spark, sf_dir):
     return sparql(spark, q, text)
 
 
+@query(f"""SELECT '"' || s_name || '"' AS name, '"' || CASE WHEN s_nationkey < 10 THEN s_nationkey ELSE s_suppkey END || '{_INT}' AS v FROM {S}""")
+def sparql_optional_chain(spark, sf_dir):
+    q = quads(spark, sf_dir, ("supplier", "s_suppkey", "s_name", "s_nationkey"))
+    return sparql(spark, q, "SELECT ?name ?v { ?s t:s_name ?name OPTIONAL { ?s t:s_nationkey ?v FILTER(?v < 10) } OPTIONAL { ?s t:s_suppkey ?v } }")
+
+
+@query(f"""SELECT '"' || s_name || '"' AS name FROM {S} s WHERE EXISTS (SELECT 1 FROM nation n WHERE n_regionkey = 3 AND n_nationkey > s.s_nationkey)""")
+def sparql_exists_correlated(spark, sf_dir):
+    q = quads(spark, sf_dir, ("nation", "n_nationkey", "n_regionkey"), ("supplier", "s_suppkey", "s_name", "s_nationkey"))
+    return sparql(spark, q, "SELECT ?name { ?s t:s_name ?name ; t:s_nationkey ?n FILTER EXISTS { ?x t:n_regionkey 3 ; t:n_nationkey ?m FILTER(?m > ?n) } }")
+
+
+@query(f"""SELECT '"' || s_name || '"' AS name FROM {S} WHERE s_nationkey >= 10 OR s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 3)""")
+def sparql_exists_unbound(spark, sf_dir):
+    q = quads(spark, sf_dir, ("nation", "n_nationkey", "n_regionkey"), ("supplier", "s_suppkey", "s_name", "s_nationkey"))
+    return sparql(spark, q, "SELECT ?name { ?s t:s_name ?name OPTIONAL { ?s t:s_nationkey ?n FILTER(?n < 10) } FILTER EXISTS { ?x t:n_regionkey 3 ; t:n_nationkey ?n } }")
+
+
 # Streams
 
 

@@ -316,9 +316,18 @@ class SourceSet:
 
 
 def skolemise(quads: DataFrame, source_id: str) -> DataFrame:
-    """Blank nodes of one source made distinct from those of any other."""
-    name = re.sub(r"[^A-Za-z0-9]", "", source_id) or uuid.uuid5(uuid.NAMESPACE_URL, source_id).hex
-    return quads.withColumns({t: F.regexp_replace(c(t), r"_:", f"_:{name}x") for t in ("s", "o")})
+    """Blank nodes of one source made distinct from those of any other: terms that are blank nodes, in quoted triples too."""
+    from ..functions import terms as t
+
+    name = uuid.uuid5(uuid.NAMESPACE_URL, source_id).hex
+
+    def own(term, depth: int = 2):
+        new = F.when(t.is_blank(term), F.concat(F.lit(f"_:{name}x"), F.substring(term, 3, 1 << 30))).otherwise(term)
+        if not depth:
+            return new
+        return F.when(t.is_triple(term), t.triple(own(t.subject(term), depth - 1), t.predicate(term), own(t.object_(term), depth - 1))).otherwise(new)
+
+    return quads.withColumns({x: own(c(x)) if x in "so" else own(c(x), 0) for x in ("s", "o", "g") if x in quads.columns})
 
 
 def federated(sources: dict[str, DataFrame]) -> DataFrame:
