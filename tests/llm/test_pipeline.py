@@ -34,9 +34,14 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert sorted((r.doc_id, r.text) for r in first) == sorted(want)
     assert all(r.n_chars == len(r.text) for r in first)
 
+    # Of the lines that comparing all pairs removes, 0.99 at least are found, and no others go.
     gone = set(every_pair(spark, sorted(want)))
-    want = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in want}
-    assert {r.doc_id: r.text for r in second} == want and len(second) == len(want)
+    least = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in want}
+    first, want = dict(want), {r.doc_id: r.text for r in second}
+    assert want.keys() == least.keys() and len(second) == len(want)
+    n = lambda t: t.count("\n") + 1 if t else 0
+    assert all(n(least[d]) <= n(want[d]) <= n(first[d]) for d in want)
+    assert sum(n(want[d]) - n(least[d]) for d in want) <= 0.01 * len(gone)
 
     classes = brute_classes([r.doc_id for r in second], [r.text for r in second])
     assert sorted(r.doc_id for r in third) == sorted(set(classes.values()))
