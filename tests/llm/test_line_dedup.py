@@ -108,6 +108,17 @@ def test_hot_keys_and_large_buckets_find_the_same(spark, monkeypatch):
     assert {k: r.removed for k, r in removed(spark, rows).items()} == want
 
 
+def test_links_of_small_buckets_stay_where_a_key_is_hot(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    base, pair = [word() for _ in range(30)], [word() for _ in range(30)]
+    rows = [(i, " ".join([*base[:29], word()])) for i in range(40)] + [(50, " ".join(pair)), (51, " ".join([*pair[:29], word()]))]
+    want = [*range(1, 40), 51]
+    assert [k for k, r in sorted(removed(spark, rows).items()) if r.removed] == want
+    monkeypatch.setattr(line_dedup, "HOT", 20)
+    assert [k for k, r in sorted(removed(spark, rows).items()) if r.removed] == want
+
+
 def test_equal_lines_of_any_length(spark):
     got = removed(spark, [(1, "a\nok\n\n--"), (2, "A!\nno\n\n--"), (3, "b")])
     assert [got[i].removed for i in (1, 2, 3)] == [[], [0], []]

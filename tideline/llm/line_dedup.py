@@ -542,7 +542,7 @@ def linked(keyed: DataFrame, lines: DataFrame, nodes: DataFrame, n: int, thresho
     release(spark)
     # A node comes once a key: parts hold distinct ones, hot keys may come from several windows.
     members = members.dropDuplicates(["key", "node"]) if hot else members
-    return bucket_classes(members, lambda p: edit_pairs(p, texts, threshold), lambda x, y: alike(x, y, threshold), room=1000.0, classes=None if hot else classes)
+    return bucket_classes(members, lambda p: edit_pairs(p, texts, threshold), lambda x, y: alike(x, y, threshold), room=1000.0, classes=classes)
 
 
 def _marked(docs: DataFrame, dk: str, pos: str, threshold: float) -> DataFrame:

@@ -123,7 +123,7 @@ def bucket_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     lies in one class. Members of one class need no further pair. What is left after `rounds`, or as soon as it is small
     (`room` pairs a member), is settled exactly: all pairs of different classes in a bucket whose sketches are alike.
     So the work is linear in a large bucket of copies, and no link that the buckets hold is lost. verify gets and
-    returns (a, b), a < b. `classes` holds what is known already: the links of a star around each bucket's smallest node at least.
+    returns (a, b), a < b. `classes` holds what is known already and is kept; the star around each bucket's smallest node is then left out.
     """
     open_ = members.select("key", "node", "sketch")
     tried: DataFrame | None = None
