@@ -10,6 +10,11 @@ def test_ids_and_texts_equal_the_reference_library():
     assert codec.check_parity(ODD) == []
 
 
+def test_white_space_marked_in_python_equals_the_normaliser():
+    by_normaliser = [e.ids for e in codec.codec(codec.MODEL).encode_batch_fast(ODD, add_special_tokens=False)]
+    assert [e.ids for e in codec.encoder(codec.MODEL)(ODD)] == by_normaliser
+
+
 def test_whole_table_equals_the_reference_library():
     texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()]
     assert codec.check_parity(texts) == []
