@@ -135,3 +135,30 @@ def test_components_equal_union_find(spark, seed):
             parent[b] = a
     got = {r["node"]: r["class"] for r in links.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent}
+
+
+@pytest.mark.parametrize("side", [1 << 12, 1 << 23])
+def test_tiles_find_every_link_between_classes(spark, side):
+    """Members of a bucket in parts: the classes are those of all pairs, and a member's data moves once a part, not once a pair."""
+    rng = np.random.default_rng(5)
+    spot = {k: rng.random(60) for k in (1, 2)}
+    rows = [(k, 100 * k + i, 100 * k + (0 if i < 20 else i), 0) for k in (1, 2) for i in range(60)]
+    held = spark.createDataFrame(rows, "key long, node long, class long, sketch long").selectExpr("*", "struct(key * 100 AS class) AS c")
+    data = spark.createDataFrame([(100 * k + i, 8, float(x)) for k in (1, 2) for i, x in enumerate(spot[k])], "node long, size int, x double")
+
+    def prepare(tile):
+        x = tile["x"].to_numpy()
+        return lambda i, others: abs(x[others] - x[i]) < 0.01
+
+    found = [(r.a, r.b) for r in links.tile_links(held, data, prepare, side=side).collect()]
+    want = {(100 * k + i, 100 * k + j) for k in (1, 2) for i in range(60) for j in range(60) if i < j and (j >= 20) and abs(spot[k][i] - spot[k][j]) < 0.01}
+    assert set(found) <= want
+
+    def classes(pairs):
+        group = {n: c for _, n, c, _ in rows}
+        for a, b in pairs:
+            group = {n: group[a] if g == group[b] else g for n, g in group.items()}
+        names = {}
+        return [names.setdefault(group[n], n) for n in sorted(group)]
+
+    assert classes(found) == classes(want) and len(set(classes(want))) < 82

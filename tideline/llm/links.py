@@ -116,14 +116,100 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return checkpoint(members.join(keys, "key"))
 
 
-def bucket_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column], rounds: int = 4, room: float = 20.0, classes: DataFrame | None = None) -> DataFrame | None:
+#: Bytes of the members of a tile's side.
+SIDE = 1 << 23
+
+
+def tile_links(held: DataFrame, data: DataFrame, prepare: Callable[[pa.Table], Callable[[int, np.ndarray], np.ndarray]], confirm: Callable[[list[str], list[str]], np.ndarray] | None = None, side: int = SIDE) -> DataFrame:
+    """Links (a, b) that join the classes within buckets: held (key, node, class, sketch, c: a struct with the class of most members or any), data (node, size in bytes, ...).
+
+    A bucket's members, cut into parts of about `side` bytes, meet part by part in one task each, with their data: a
+    member moves once a part of its bucket instead of once a pair. Members of c's class have one and the same, so they meet the others only.
+    In a tile all pairs of different classes are compared, and those that a link of the tile has joined already are
+    left out. prepare: rows of a tile -> (row, other rows) -> which of the others are linked; with confirm, which may be, and
+    confirm tells it from the column `line`, for many pairs of one or several tiles at once.
+    """
+    held = held.select("key", "node", "class", "sketch", (F.col("class") == F.col("c.class")).alias("common"))
+    size = F.greatest("size", F.lit(1024))
+    parts = held.join(data.select("node", "size"), "node").groupBy("key").agg(*[F.ceil(F.coalesce(F.sum(F.when(own, size)), F.lit(0)) / side).cast("int").alias(m) for own, m in ((~F.col("common"), "m"), (F.col("common"), "mc"))])
+    placed = held.join(parts, "key").withColumn("own", F.expr("CAST(IF(common, m + pmod(xxhash64(node, 7), mc), pmod(xxhash64(node, 7), m)) AS INT)"))
+    placed = placed.where("m > 0").withColumn("other", F.explode(F.expr("sequence(0, IF(common, m, m + mc) - 1)")))
+    placed = placed.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    tiles = placed.drop("m", "mc", "other", "common").join(data.drop("size"), "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def whole(it):
+        """A table a tile; its rows may come in several batches."""
+        rest: list[pa.RecordBatch] = []
+        last = None
+        for batch in it:
+            at = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("key", "lo", "hi")]
+            cuts = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in at], axis=0))[: batch.num_rows])
+            for lo, hi in zip(cuts, np.append(cuts[1:], batch.num_rows)):
+                now = tuple(int(x[lo]) for x in at)
+                if rest and now != last:
+                    yield pa.Table.from_batches(rest)
+                    rest = []
+                rest.append(batch.slice(lo, hi - lo))
+                last = now
+        if rest:
+            yield pa.Table.from_batches(rest)
+
+    def run(it):
+        wait: list[tuple] = []  # (tile, i, j, nodes, lines) of pairs to confirm
+        weight = 0
+
+        def join(label, i, j):
+            new = label[i] != label[j]
+            if new:
+                label[label == label[j]] = label[i]
+            return new
+
+        def settled():
+            pairs = [x for x in wait if x[0][x[1]] != x[0][x[2]]]
+            ok = confirm([x[5] for x in pairs], [x[6] for x in pairs]) if pairs else []
+            return [(a, b) for (label, i, j, a, b, _, _), yes in zip(pairs, ok) if yes and join(label, i, j)]
+
+        def made(found):
+            one, two = np.array(found, np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+
+        for tile in whole(it):
+            node, own = tile["node"].to_numpy(), tile["own"].to_numpy()
+            lo, hi = tile["lo"][0].as_py(), tile["hi"][0].as_py()
+            label = np.unique(tile["class"].to_numpy(), return_inverse=True)[1]
+            if label.max() == 0:
+                continue
+            linked, found = prepare(tile), []
+            lines = tile["line"].to_pylist() if confirm else []
+            for i in np.flatnonzero(own == lo):
+                others = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1 if lo == hi else np.flatnonzero((own == hi) & (label != label[i]))
+                if not len(others):
+                    continue
+                for j in others[linked(i, others)].tolist():
+                    if not confirm:
+                        found += [(node[i], node[j])] if join(label, i, j) else []
+                        continue
+                    wait.append((label, i, j, node[i], node[j], lines[i], lines[j]))
+                    weight += len(lines[i]) + len(lines[j])
+                    if len(wait) >= 1 << 12 or weight > 1 << 23:
+                        found += settled()
+                        wait, weight = [], 0
+            if found:
+                yield made(found)
+        if wait:
+            yield made(settled())
+
+    return tiles.mapInArrow(run, "a long, b long")
+
+
+def bucket_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column], settle: Callable[[DataFrame], DataFrame], rounds: int = 4, room: float = 1000.0, classes: DataFrame | None = None) -> DataFrame | None:
     """members (key, node, sketch), each (key, node) once, of buckets of two or more (shared_buckets) -> classes (node, class) of the links within buckets, or None.
 
     A star a bucket and round: all members are verified against one centre, another one each round, until every bucket
     lies in one class. Members of one class need no further pair. What is left after `rounds`, or as soon as it is small
-    (`room` pairs a member), is settled exactly: all pairs of different classes in a bucket whose sketches are alike.
+    (`room` pairs a member), is settled exactly: all pairs of different classes in a bucket whose sketches are alike (tile_links).
     So the work is linear in a large bucket of copies, and no link that the buckets hold is lost. verify gets and
-    returns (a, b), a < b. `classes` holds what is known already and is kept; the star around each bucket's smallest node is then left out.
+    returns (a, b), a < b; settle gets members with their class and returns links. `classes` holds what is known already and is kept; the star around each bucket's smallest node is then left out.
     """
     open_ = members.select("key", "node", "sketch")
     tried: DataFrame | None = None
@@ -139,12 +225,8 @@ def bucket_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
                 break
             open_ = held.select("key", "node", "sketch")
         if turn and (turn == rounds or left["pairs"] <= room * left["members"]):
-            a = held.select("key", F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("class").alias("ca"))
-            b = held.where(F.col("class") != F.col("c.class")).select("key", F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("class").alias("cb"))
-            pairs = a.join(b, (a["key"] == b["key"]) & (F.col("ca") != F.col("cb")) & alike(F.col("sa"), F.col("sb"))).select("a", "b")
-            turn = rounds
-        else:
-            pairs = held.where((F.col("class") != F.col("c.class")) & alike(F.col("sketch"), F.col("c.sketch"))).select(F.col("c.node").alias("a"), F.col("node").alias("b"))
+            return merged(classes, checkpoint(settle(held)))
+        pairs = held.where((F.col("class") != F.col("c.class")) & alike(F.col("sketch"), F.col("c.sketch"))).select(F.col("c.node").alias("a"), F.col("node").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -152,6 +234,4 @@ def bucket_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
         tried = pairs if tried is None else tried.unionByName(pairs)
         classes = merged(classes, checkpoint(verify(pairs).select("a", "b")))
         release(members.sparkSession)
-        if turn == rounds:
-            break
     return classes

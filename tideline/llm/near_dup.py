@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import SPACE, Shelf, checkpoint, fresh, table
 from .hashing import U, mix
-from .links import bucket_classes
+from .links import bucket_classes, tile_links
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -203,6 +203,42 @@ def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndar
     return shared / (total - shared)
 
 
+def similar_rows(tile: pa.Table, counters: np.ndarray, documents: int, threshold: float):
+    """(row, other rows) -> which others have a weighted Jaccard similarity to the row of at least the threshold, for rows (sketch, h, tf)."""
+    sketch = tile["sketch"].to_numpy().view(U)
+    hs = [np.frombuffer(x.as_buffer(), np.uint32) for x in tile["h"]]
+    h = np.concatenate(hs)
+    w = idf(counters, documents, h.astype(U))
+    ends = np.cumsum([len(x) for x in hs])
+    starts = ends - [len(x) for x in hs]
+    for tf, lo, hi in zip(tile["tf"], starts, ends):
+        if tf.is_valid:
+            w[lo:hi] *= np.frombuffer(tf.as_buffer(), np.uint32)
+    place = np.unique(h, return_inverse=True)[1]
+    total = np.add.reduceat(w, starts, dtype=np.float64)
+    here = np.zeros(place.max() + 1, np.float32)
+
+    def linked(i, others):
+        ok = np.bitwise_count(sketch[others] ^ sketch[i]) <= MOST_BITS
+        low, high = np.minimum(total[others], total[i]), np.maximum(total[others], total[i])
+        ok &= low >= threshold * high * (1 - 1e-6)  # the similarity is this quotient at most
+        some = np.flatnonzero(ok)
+        own = slice(starts[i], ends[i])
+        here[place[own]] = w[own]
+        step = max(1, (1 << 20) // max(1, len(place) // len(starts)))
+        for at in range(0, len(some), step):
+            part = others[some[at : at + step]]
+            n = ends[part] - starts[part]
+            cuts = np.cumsum(n) - n
+            flat = np.arange(n.sum()) + np.repeat(starts[part] - cuts, n)
+            shared = np.add.reduceat(np.minimum(here[place[flat]], w[flat]), cuts, dtype=np.float64)
+            ok[some[at : at + step]] = shared / (total[part] + total[i] - shared) >= threshold
+        here[place[own]] = 0
+        return ok
+
+    return linked
+
+
 def similar_pairs(pairs: DataFrame, vecs: DataFrame, counters, documents: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity is at least the threshold, with it."""
     one = vecs.select(F.col("node").alias("b"), F.col("h").alias("hb"), F.col("tf").alias("tb"))
@@ -244,8 +280,13 @@ def node_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame | N
         wanted = members.select("node").distinct()
         # One text a node: the first is taken before the shuffle, so a text with many copies moves once a task.
         texts = live.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node", "left_semi")
-        vecs = shelf.put("vectors", vectors(texts))
-        classes = bucket_classes(members, lambda p: similar_pairs(p, vecs, counters, documents, threshold), lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= MOST_BITS)
+        vecs = shelf.put("vectors", vectors(texts).withColumn("size", F.length("h") * 3))
+        classes = bucket_classes(
+            members,
+            lambda p: similar_pairs(p, vecs, counters, documents, threshold),
+            lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= MOST_BITS,
+            lambda held: tile_links(held, vecs, lambda tile: similar_rows(tile, counters.value, documents, threshold)),
+        )
         return None if classes is None else checkpoint(classes)
     finally:
         shelf.clear()
