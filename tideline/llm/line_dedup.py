@@ -45,7 +45,7 @@ from . import hashing
 from .common import Shelf, checkpoint, fresh, release, table
 from .edit_distance import similar
 from .hashing import U, mix
-from .links import bucket_classes, components, merged
+from .links import bucket_classes, components, merged, tile_links
 
 MOST_BITS = 3
 FAR_BITS = 14
@@ -479,6 +479,39 @@ def edit_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFram
     return pairs.join(one, "a").join(two, "b").select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
 
 
+def maybe_similar(tile: pa.Table, threshold: float):
+    """(row, other rows) -> which others may have the edit similarity to the row, for rows (key, sketch, line, keys) of one bucket. A pair
+    is compared in the smallest bucket that both are in; those of shingles come first, and their test lets all pairs through that the other's does."""
+    sketch = tile["sketch"].combine_chunks()
+    sim, words = sketch.field("sim").to_numpy().view(U), sketch.field("words").fill_null(0).to_numpy()
+    key, shingle = tile["key"][0].as_py(), sketch.field("shingle")[0].as_py()
+    lines, n = tile["line"].to_pylist(), tile.num_rows
+    smaller = [frozenset(k for k in own if k < key) for own in tile["keys"].to_pylist()]
+    chars = np.array([len(x) for x in lines])
+    # Pairs of letters, thrown into 64 counters: an edit changes two of either line at most.
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(n), chars)
+    both = np.flatnonzero(row[1:] == row[:-1])
+    profile = np.bincount(row[both] * 64 + ((code[both] * np.uint32(37) + code[both + 1] * np.uint32(11)) & np.uint32(63)), minlength=64 * n).reshape(n, 64).astype(np.int32)
+
+    def linked(i, others):
+        bits = np.bitwise_count(sim[others] ^ sim[i])
+        most = np.floor((1 - threshold) * np.maximum(chars[others], chars[i]) + 1e-9)
+        ok = abs(chars[others] - chars[i]) <= most
+        if shingle:
+            least = np.minimum(words[others], words[i])
+            ok &= (bits <= np.where(least <= MIDDLE, MIDDLE_BITS, FAR_BITS)) | (least <= LOOSE)
+        else:
+            ok &= bits <= MOST_BITS
+        some = np.flatnonzero(ok)
+        some = some[abs(profile[others[some]] - profile[i]).sum(axis=1) <= 4 * most[some]]
+        if smaller[i]:
+            some = np.array([k for k in some.tolist() if smaller[i].isdisjoint(smaller[others[k]])], np.int64)
+        return some
+
+    return linked
+
+
 def packed_texts(docs: DataFrame) -> DataFrame:
     """docs (dk, text) -> (dk, packed): texts compressed one by one, to move less than Spark's own block compression does."""
 
@@ -542,7 +575,13 @@ def linked(keyed: DataFrame, lines: DataFrame, nodes: DataFrame, n: int, thresho
     release(spark)
     # A node comes once a key: parts hold distinct ones, hot keys may come from several windows.
     members = members.dropDuplicates(["key", "node"]) if hot else members
-    return bucket_classes(members, lambda p: edit_pairs(p, texts, threshold), lambda x, y: alike(x, y, threshold), room=1000.0, classes=classes)
+
+    def settle(held):
+        keys = held.groupBy("node").agg(F.collect_list("key").alias("keys"))
+        data = shelf.put("settled", texts.join(keys, "node").withColumn("size", 4 * F.length("line") + 8 * F.size("keys") + 256))
+        return tile_links(held, data, lambda tile: maybe_similar(tile, threshold), lambda x, y: similar(x, y, threshold))
+
+    return bucket_classes(members, lambda p: edit_pairs(p, texts, threshold), lambda x, y: alike(x, y, threshold), settle, classes=classes)
 
 
 def _marked(docs: DataFrame, dk: str, pos: str, threshold: float) -> DataFrame:
