@@ -196,3 +196,26 @@ def test_shingle_keys():
     one = line_dedup.shingle_keys(h[:5], np.array([0]))[1].tolist()
     for other in (np.append(h[1:5][::-1], h[20]), h[1:5]):
         assert set(one) & set(line_dedup.shingle_keys(other, np.array([0]))[1].tolist())
+
+
+def test_counts_of_letter_pairs_rule_out_no_like_line():
+    """All pairs that reach the edit similarity pass the test of a tile, at the threshold too."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    base = "".join(rng.choice(list("abcdeé \U0001F600"), 100))
+    lines = [base]
+    for k in range(60):
+        x = list(base)
+        for at in rng.choice(100, k % 20, replace=False):
+            x[at] = "z" if k % 2 else "" if k % 3 else x[at] * 2
+        lines.append("".join(x))
+    sketch = pa.array([{"sim": 0, "chars": 100, "words": 9, "shingle": True}] * len(lines), pa.struct([("sim", pa.int64()), ("chars", pa.int32()), ("words", pa.int32()), ("shingle", pa.bool_())]))
+    tile = pa.table({"key": pa.array([-5] * len(lines), pa.int64()), "sketch": sketch, "line": lines, "keys": [[-5, 3]] * len(lines)})
+    maybe = line_dedup.maybe_similar(tile, 0.85)
+    for i in range(len(lines)):
+        others = np.delete(np.arange(len(lines)), i)
+        like = others[edit_distance.similar([lines[i]] * len(others), [lines[j] for j in others], 0.85)]
+        assert set(like) <= set(others[maybe(i, others)])
+    smaller = tile.set_column(3, "keys", pa.array([[-7, -5]] * len(lines)))  # they share a smaller bucket, where they meet
+    assert not len(line_dedup.maybe_similar(smaller, 0.85)(0, np.arange(1, len(lines))))
