@@ -15,6 +15,22 @@ def test_white_space_marked_in_python_equals_the_normaliser():
     assert [e.ids for e in codec.encoder(codec.MODEL)(ODD)] == by_normaliser
 
 
+def test_words_encoded_once_equal_whole_texts(monkeypatch):
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()] + ODD + ["a b a", "b a\tc ", "ä" * 50 + " a"]
+    whole = [e.ids for e in codec.encoder(codec.MODEL)(texts)]
+    asked = []
+    encoder = codec.encoder
+    monkeypatch.setattr(codec, "encoder", lambda path: lambda ts: asked.extend(ts) or encoder(path)(ts))
+    for kept in (1 << 18, 3):  # with few words kept, those of one batch are still encoded once
+        monkeypatch.setattr(codec, "KEPT_WORDS", kept)
+        own = codec.word_encoder.__wrapped__(codec.MODEL)
+        assert [x.tolist() for k in range(0, len(texts), 7) for x, _ in own(texts[k : k + 7])] == whole
+    own = codec.word_encoder.__wrapped__(codec.MODEL)
+    asked.clear()
+    own(["one two one", "two one two one"])
+    assert sorted(" ".join(asked).split()) == ["one", "two"]
+
+
 def test_whole_table_equals_the_reference_library():
     texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()]
     assert codec.check_parity(texts) == []

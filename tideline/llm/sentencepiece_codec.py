@@ -6,7 +6,7 @@ of the normaliser, white space turned into the metaspace marker with a dummy pre
 the marker behind another character, so a text may be cut before each run of markers without changing its pieces; that
 keeps the merging linear in very long texts.
 
-Texts are encoded in batches bounded by bytes, with as many threads as `threads` says.
+The same holds of the words of a batch: each distinct one is encoded once. Texts are encoded in batches bounded by bytes, with as many threads as `threads` says.
 
 Defined cases: null stays null (ids, round_trip and parity are null, n_tokens is 0); the empty text has no ids. Rows that repeat are encoded alike;
 extra columns pass through where the caller keeps them. An empty table gives an empty table. Whole texts are encoded.
@@ -19,6 +19,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -157,6 +158,46 @@ def encoder(path: str):
     return lambda texts: tokenizer.encode_batch_fast([lead + t.replace(" ", MARK) if t else t for t in texts], add_special_tokens=False)
 
 
+#: Words whose ids a process keeps, and the most characters of one.
+KEPT_WORDS, KEPT_CHARS = 1 << 18, 40
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str):
+    """texts -> (array of its ids, those of encoder(); whether they are known to decode to the text) of each. Pieces never cross the start of a word, so where single blanks part the
+    words, each distinct word of a batch is encoded once, and the first KEPT_WORDS of a process once for all batches."""
+    with open(path, "rb") as f:
+        model = parse_model(f.read())
+    whole, pieces = encoder(path), [p for p, _, _ in model["pieces"]]
+    if model["charsmap"] or model["remove_extra_whitespaces"] or not model["add_dummy_prefix"] or MARK not in pieces or any(MARK in p.lstrip(MARK) for p in pieces):
+        return lambda texts: [(np.array(e.ids, np.int32), False) for e in whole(texts)]
+    stands_for = piece_bytes(path).__getitem__
+    begins = np.array([p[:1] == MARK for p in pieces])
+    # Ids as bytes: of many lists Python's garbage collector would look at each. A blank at a text's end is a word of the marker only.
+    known = {"": np.array([pieces.index(MARK)], np.int32).tobytes()}
+
+    def encoded(texts):
+        parted = [t.split(" ") if t and t[0] != " " and "  " not in t and MARK not in t else None for t in texts]
+        new = list(set().union(*(ws for ws in parted if ws)).difference(known))
+        if new:
+            # As a few texts; a word begins where a piece with the marker does.
+            ids = np.concatenate([np.array(e.ids, np.int32) for e in whole([" ".join(new[k : k + 4096]) for k in range(0, len(new), 4096)])])
+            # What words decode to, a text of them does.
+            if b"".join(map(stands_for, ids.tolist())) != (" " + " ".join(new)).encode():
+                return [(np.array(e.ids, np.int32), False) for e in whole(texts)]
+            cuts, raw = np.append(np.flatnonzero(begins[ids]) * 4, len(ids) * 4).tolist(), ids.tobytes()
+            known.update((w, raw[lo:hi]) for w, lo, hi in zip(new, cuts[:-1], cuts[1:], strict=True))
+        rest = iter(whole([t for t, ws in zip(texts, parted) if ws is None]))
+        out = [(np.array(next(rest).ids, np.int32), False) if ws is None else (np.frombuffer(b"".join(map(known.__getitem__, ws)), np.int32), True) for ws in parted]
+        if len(known) > KEPT_WORDS or max(map(len, new), default=0) > KEPT_CHARS:
+            kept = [w for w in new if len(w) <= KEPT_CHARS][: max(0, KEPT_WORDS - len(known) + len(new))]
+            for w in set(new).difference(kept):
+                del known[w]
+        return out
+
+    return encoded
+
+
 @lru_cache(maxsize=2)
 def piece_bytes(path: str) -> list[bytes]:
     """What each id stands for in a text: joined, the pieces of an encoding give its normalised text."""
@@ -174,7 +215,7 @@ def check_parity(texts: list[str], path: str = MODEL) -> list[int]:
     import sentencepiece
 
     reference = sentencepiece.SentencePieceProcessor(model_file=path)
-    own = [e.ids for e in encoder(path)(texts)]
+    own = [x.tolist() for x, _ in word_encoder(path)(texts)]
     theirs = reference.encode(texts, num_threads=1)
     back = decode(own, path)
     return [i for i, t in enumerate(texts) if own[i] != theirs[i] or back[i] != reference.decode(theirs[i])]
@@ -212,7 +253,7 @@ def encode(docs, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",), thread
 
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
-        tokenizer, encoded, stands_for = codec(model), encoder(model), piece_bytes(model).__getitem__
+        tokenizer, encoded, stands_for = codec(model), word_encoder(model), piece_bytes(model).__getitem__
         reference = None
         if verify_every:
             import sentencepiece
@@ -224,8 +265,7 @@ def encode(docs, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",), thread
                 part = batch.slice(start, end - start)
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
                 live = [t for t in texts if t is not None]
-                ids = [e.ids for e in encoded(live)]
-                ids_of, same = iter(ids), []
+                ids_of, same = iter(encoded(live)), []
                 rows, trips = [], []
                 for t in texts:
                     if t is None:
@@ -233,16 +273,19 @@ def encode(docs, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",), thread
                         trips.append(None)
                         same.append(None)
                         continue
-                    own = next(ids_of)
+                    own, decodes = next(ids_of)
                     rows.append(own)
-                    raw = t.encode()
-                    got = b"".join(map(stands_for, own))
-                    got = got[1:] if got[:1] == b" " else got
-                    trips.append(got == raw or got == normal(tokenizer, t).encode())
-                    chosen = reference is not None and zlib.crc32(raw) % verify_every == 0
-                    same.append(reference.encode(t) == own if chosen else None)
+                    if not decodes:
+                        got = b"".join(map(stands_for, own.tolist()))
+                        got = got[1:] if got[:1] == b" " else got
+                        decodes = got == t.encode() or got == normal(tokenizer, t).encode()
+                    trips.append(decodes)
+                    chosen = reference is not None and (verify_every == 1 or zlib.crc32(t.encode()) % verify_every == 0)
+                    same.append(np.array_equal(reference.encode_as_numpy(t), own) if chosen else None)
                 columns = [part.column(part.schema.get_field_index(n)) for n in names]
-                columns += [pa.array([len(r or ()) for r in rows], pa.int32()), pa.array(rows, pa.list_(pa.int32())), pa.array(trips, pa.bool_()), pa.array(same, pa.bool_())]
+                sizes = np.array([0 if r is None else len(r) for r in rows], np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *[r for r in rows if r is not None]])), mask=pa.array([r is None for r in rows]))
+                columns += [pa.array(sizes), ids, pa.array(trips, pa.bool_()), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_tokens", "ids", "round_trip", "parity"])
 
     return kept.mapInArrow(run, out)
