@@ -493,18 +493,25 @@ def maybe_similar(tile: pa.Table, threshold: float):
     row = np.repeat(np.arange(n), chars)
     both = np.flatnonzero(row[1:] == row[:-1])
     profile = np.bincount(row[both] * 64 + ((code[both] * np.uint32(37) + code[both + 1] * np.uint32(11)) & np.uint32(63)), minlength=64 * n).reshape(n, 64).astype(np.int32)
+    step, held = max(1, (1 << 15) // n), [-1, None]
+
+    def alike_rows(lo):
+        """Rows lo .. lo + step against all: what sketches and lengths say."""
+        own = slice(lo, lo + step)
+        bits = np.bitwise_count(sim[own, None] ^ sim)
+        ok = abs(chars[own, None] - chars) <= np.floor((1 - threshold) * np.maximum(chars[own, None], chars) + 1e-9)
+        if not shingle:
+            return ok & (bits <= MOST_BITS)
+        least = np.minimum(words[own, None], words)
+        return ok & ((bits <= np.where(least <= MIDDLE, MIDDLE_BITS, FAR_BITS)) | (least <= LOOSE))
 
     def linked(i, others):
-        bits = np.bitwise_count(sim[others] ^ sim[i])
-        most = np.floor((1 - threshold) * np.maximum(chars[others], chars[i]) + 1e-9)
-        ok = abs(chars[others] - chars[i]) <= most
-        if shingle:
-            least = np.minimum(words[others], words[i])
-            ok &= (bits <= np.where(least <= MIDDLE, MIDDLE_BITS, FAR_BITS)) | (least <= LOOSE)
-        else:
-            ok &= bits <= MOST_BITS
-        some = np.flatnonzero(ok)
-        some = some[abs(profile[others[some]] - profile[i]).sum(axis=1) <= 4 * most[some]]
+        if held[0] != i // step:
+            held[:] = i // step, alike_rows(i // step * step)
+        some = np.flatnonzero(held[1][i % step][others])
+        if len(some):
+            most = np.floor((1 - threshold) * np.maximum(chars[others[some]], chars[i]) + 1e-9)
+            some = some[abs(profile[others[some]] - profile[i]).sum(axis=1) <= 4 * most]
         if smaller[i]:
             some = np.array([k for k in some.tolist() if smaller[i].isdisjoint(smaller[others[k]])], np.int64)
         return some
