@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import Shelf, checkpoint, fresh, release, table
+from .common import Shelf, checkpoint, fresh, release, table, tidy
 from .edit_distance import similar
 from .hashing import U, mix
 from .links import bucket_classes, components, merged, tile_links
@@ -167,7 +167,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 dk, ids = (_column(part, c).take(pa.array(doc[keep])) for c in ("dk", "doc_id"))
                 yield pa.RecordBatch.from_arrays([dk, ids, pa.array(before[keep], pa.int32()), pa.array(node.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(chars, pa.int32()), pa.array(hi - lo, pa.int32()), keys], names=["dk", "doc_id", "pos", "node", "sim", "chars", "words", "keys"])
 
-    return docs.select("dk", F.col("doc_id").cast("long"), "text").mapInArrow(run, "dk long, doc_id long, pos int, node long, sim long, chars int, words int, keys binary")
+    return docs.select("dk", F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "dk long, doc_id long, pos int, node long, sim long, chars int, words int, keys binary")
 
 
 def n_blocks(nodes: int) -> int:
@@ -259,7 +259,7 @@ def counted_keys(lines: DataFrame, blocks: int) -> np.ndarray:
 
     kind = "part int, counts binary"
     total = np.zeros(COUNTERS, np.int64)
-    for r in lines.select("node", "sim", "chars", "words", "keys").mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).collect():
+    for r in lines.select("node", "sim", "chars", "words", "keys").mapInArrow(tidy(count), kind).repartition("part").mapInArrow(tidy(add), kind).collect():
         total[r["part"] * per : (r["part"] + 1) * per] = np.frombuffer(r["counts"], np.int64)
     return total - total.sum() // COUNTERS
 
@@ -310,7 +310,7 @@ def packed_keys(lines: DataFrame, blocks: int, bits: int, hot: frozenset[int]) -
                 send(-1, e["key"] >> U(48 - bits), e)
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(forms, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "form", "packed"])
 
-    return lines.select("node", "sim", "chars", "words", "keys").mapInArrow(run, "part int, form int, packed binary")
+    return lines.select("node", "sim", "chars", "words", "keys").mapInArrow(tidy(run), "part int, form int, packed binary")
 
 
 def hot_members(lines: DataFrame, blocks: int, hot: frozenset[int]) -> DataFrame:
@@ -329,7 +329,7 @@ def hot_members(lines: DataFrame, blocks: int, hot: frozenset[int]) -> DataFrame
                 row = w["row"][own]
                 yield _rows(2, w["node"][row], chars=w["chars"][row], key=bucket_key(w["key"][own], 0, -1), sim=w["sim"][row], words=w["words"][row])
 
-    return lines.select("node", "sim", "chars", "words", "keys").mapInArrow(run, CANDIDATES)
+    return lines.select("node", "sim", "chars", "words", "keys").mapInArrow(tidy(run), CANDIDATES)
 
 
 def bucket_key(key: np.ndarray, width: int, choice: int) -> np.ndarray:
@@ -414,7 +414,7 @@ def bucket_pairs(packed: DataFrame, blocks: int, bits: int, threshold: float) ->
             else:
                 yield from pairs(e, width, by_sim, lambda x, f, w=width: _rows(2, x["node"].copy(), key=bucket_key(x["key"], w, f), sim=restored(x["key"], blocks, f)), form)
 
-    return packed.mapInArrow(run, CANDIDATES)
+    return packed.mapInArrow(tidy(run), CANDIDATES)
 
 
 def restored(key: np.ndarray, blocks: int, choice: int, most: int = MOST_BITS) -> np.ndarray:
@@ -476,7 +476,7 @@ def edit_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFram
         ok = pa.array(similar(la.to_pylist(), lb.to_pylist(), threshold))
         return pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], names=["a", "b"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "la", "lb").mapInArrow(tidy(run), "a long, b long")
 
 
 def maybe_similar(tile: pa.Table, threshold: float):
@@ -532,7 +532,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
                 packed = pa.array([squeeze.compress(t.encode()) for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("dk")), packed], names=["dk", "packed"])
 
-    return docs.select("dk", "text").mapInArrow(run, "dk long, packed binary")
+    return docs.select("dk", "text").mapInArrow(tidy(run), "dk long, packed binary")
 
 
 def picked_lines(packed: DataFrame) -> DataFrame:
@@ -558,7 +558,7 @@ def picked_lines(packed: DataFrame) -> DataFrame:
     def made(nodes, lines):
         return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), normal_lines(lines)], names=["node", "line"])
 
-    return packed.select("packed", "want").mapInArrow(run, "node long, line string")
+    return packed.select("packed", "want").mapInArrow(tidy(run), "node long, line string")
 
 
 def linked(keyed: DataFrame, lines: DataFrame, nodes: DataFrame, n: int, threshold: float, shelf: Shelf) -> DataFrame | None:

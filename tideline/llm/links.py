@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, release
+from .common import checkpoint, release, tidy
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -61,7 +61,7 @@ def _forests(edges: DataFrame) -> DataFrame:
         a, b = (np.concatenate([x.column(x.schema.get_field_index(c)).to_numpy() for x in held]) for c in "ab")
         return pa.RecordBatch.from_arrays([pa.array(x) for x in _forest(a, b)], names=["a", "b"])
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+    return edges.select("a", "b").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def tile_links(held: DataFrame, data: DataFrame, prepare: Callable[[pa.Table], C
         if wait:
             yield made(settled())
 
-    return tiles.mapInArrow(run, "a long, b long")
+    return tiles.mapInArrow(tidy(run), "a long, b long")
 
 
 def bucket_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column], settle: Callable[[DataFrame], DataFrame], rounds: int = 4, room: float = 1000.0, classes: DataFrame | None = None) -> DataFrame | None:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import SPACE, Shelf, checkpoint, fresh, table
+from .common import SPACE, Shelf, checkpoint, fresh, table, tidy
 from .hashing import U, mix
 from .links import bucket_classes, tile_links
 
@@ -148,7 +148,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary()), pa.array(n.values(), pa.int64())], names=["block", "counts", "n"])
 
     kind = "block int, counts binary, n long"
-    summed = texts.select("text").mapInArrow(count, kind).repartition("block").mapInArrow(add, kind).collect()
+    summed = texts.select("text").mapInArrow(tidy(count), kind).repartition("block").mapInArrow(tidy(add), kind).collect()
     total = np.zeros(COUNTERS, np.int64)
     for r in summed:
         total[r["block"] * per : (r["block"] + 1) * per] = np.frombuffer(r["counts"], np.int64)
@@ -168,7 +168,7 @@ def signatures(nodes: DataFrame, counters, documents: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([_column(part, "node").take(pa.array(some)), lists, pa.array(sketch.view(np.int64))], names=["node", "keys", "sketch"])
 
-    return nodes.select("node", "text").mapInArrow(sign, "node long, keys array<long>, sketch long")
+    return nodes.select("node", "text").mapInArrow(tidy(sign), "node long, keys array<long>, sketch long")
 
 
 def vectors(nodes: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def vectors(nodes: DataFrame) -> DataFrame:
                     tfs.append(None if (tf == 1).all() else tf.astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays([_column(part, "node"), pa.array(hs, pa.binary()), pa.array(tfs, pa.binary())], names=["node", "h", "tf"])
 
-    return nodes.select("node", "text").mapInArrow(make, "node long, h binary, tf binary")
+    return nodes.select("node", "text").mapInArrow(tidy(make), "node long, h binary, tf binary")
 
 
 def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
@@ -260,7 +260,7 @@ def similar_pairs(pairs: DataFrame, vecs: DataFrame, counters, documents: int, t
                 sims.append(weighted_jaccard(*va, *weigh(_column(batch, "hb")[i].as_py(), _column(batch, "tb")[i].as_py())))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "ha", "ta", "hb", "tb").mapInArrow(compare, "a long, b long, sim double").where(F.col("sim") >= threshold)
+    return pairs.join(one, "b").join(two, "a").select("a", "b", "ha", "ta", "hb", "tb").mapInArrow(tidy(compare), "a long, b long, sim double").where(F.col("sim") >= threshold)
 
 
 def node_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import table
+from .common import table, tidy
 
 MARK = "▁"
 #: Types of pieces in the model file.
@@ -288,7 +288,7 @@ def encode(docs, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",), thread
                 columns += [pa.array(sizes), ids, pa.array(trips, pa.bool_()), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_tokens", "ids", "round_trip", "parity"])
 
-    return kept.mapInArrow(run, out)
+    return kept.mapInArrow(tidy(run), out)
 
 
 def normal(tokenizer, text: str) -> str:
