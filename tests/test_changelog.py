@@ -216,3 +216,11 @@ def test_nop_and_values(spark):
     v = relational.values(spark, "a string, b string", [("1", None), ("1", None)])
     assert bag(v) == {("1", None): 2}
     assert bag(joins.inner(relational.nothing(spark), v, [])) == {("1", None): 2}
+
+
+def test_join_with_values_moves_no_rows(spark):
+    many = cl.lift(spark.range(1000).select(F.when(F.col("id") >= 0, "F").alias("k"), "id"))
+    out = joins.inner(many, relational.values(spark, "k string, name string", [("F", "filled"), ("O", "open"), (None, "none")]))
+    assert bag(out.groupBy("name").agg(F.sum(WEIGHT).alias(WEIGHT))) == {("filled",): 1000}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..changelog import EPOCH, META, WEIGHT, c, columns, consolidate, lift, plus
 
@@ -30,9 +33,20 @@ def union(*parts: DataFrame) -> DataFrame:
     return plus(parts)
 
 
+def given(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> DataFrame:
+    """Rows that come with the query, as a local relation: the planner knows its size and broadcasts a small one. A table
+    made from a list counts as endless, and a join with it moves all rows of a frequent key into one task."""
+    if not rows or not schema:
+        return spark.createDataFrame(list(rows), schema)
+    shape = StructType.fromDDL(schema)
+    kinds = to_arrow_schema(shape)
+    arrays = [pa.array(list(x), type=f.type) for x, f in zip(zip(*rows), kinds)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=kinds), shape)
+
+
 def values(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> DataFrame:
     """An inline relation; None is UNDEF."""
-    return lift(spark.createDataFrame(list(rows), schema))
+    return lift(given(spark, schema, rows))
 
 
 def nothing(spark: SparkSession) -> DataFrame:

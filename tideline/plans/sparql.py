@@ -20,6 +20,7 @@ from ..functions import terms as t
 from ..operators import order as o
 from ..operators import paths
 from ..operators.group import Agg
+from ..operators.relational import values
 from . import algebra as A
 
 QUADS = "quads"
@@ -830,7 +831,7 @@ class Compiler:
                 return A.Map(base, lambda d: paths.negated(d, *p.parts), f"not {p.parts}")
             case "opt":
                 # A constant end is reached by no step even if it is no node of the graph.
-                given = lift(self.spark.createDataFrame([(x, x) for x in ends], "s string, o string"))
+                given = values(self.spark, "s string, o string", [(x, x) for x in ends])
                 return A.Whole([self.path(p.parts[0], base, ends), base], lambda a, q: paths.distinct(paths.plus([paths.zero_or_one(a, q), given])), "zero or one")
             case "star" | "plus" if self.closures:
                 inner = self.path(p.parts[0], base, ends)
@@ -854,8 +855,8 @@ class Compiler:
         return Compiled(A.Inline(lift(self.spark.range(1)).drop("id")), [])
 
     def inline(self, names: list[str], rows: list[list]) -> Compiled:
-        df = self.spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"`{n}` string" for n in names))
-        return Compiled(A.Inline(lift(df)), names, {n for i, n in enumerate(names) if any(r[i] is None for r in rows)})
+        df = values(self.spark, ", ".join(f"`{n}` string" for n in names), [tuple(r) for r in rows])
+        return Compiled(A.Inline(df), names, {n for i, n in enumerate(names) if any(r[i] is None for r in rows)})
 
     def group(self, items: list, graph=None) -> Compiled:
         out: Compiled | None = None
