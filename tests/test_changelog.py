@@ -9,7 +9,7 @@ from tideline.changelog import EPOCH, WEIGHT
 from tideline.operators import joins, order, paths, relational
 from tideline.operators.group import Agg, distinct, distinct_delta, group, group_delta, sums_delta, sums_state
 from tideline.plans import algebra as A
-from tideline.plans.compiler import View, delta, evaluate, replay
+from tideline.plans.compiler import View, changes, delta, evaluate, replay
 
 
 def bag(df):
@@ -219,8 +219,21 @@ def test_nop_and_values(spark):
 
 
 def test_join_with_values_moves_no_rows(spark):
-    many = cl.lift(spark.range(1000).select(F.when(F.col("id") >= 0, "F").alias("k"), "id"))
-    out = joins.inner(many, relational.values(spark, "k string, name string", [("F", "filled"), ("O", "open"), (None, "none")]))
-    assert bag(out.groupBy("name").agg(F.sum(WEIGHT).alias(WEIGHT))) == {("filled",): 1000}
-    plan = out._jdf.queryExecution().executedPlan().toString()
+    given = relational.values(spark, "k string, name string", [("F", "filled"), ("O", "open"), (None, "none")])
+    orders = lambda n: cl.lift(spark.range(n).select(F.when(F.col("id") >= 0, "F").alias("k"), "id"))
+    assert bag(joins.inner(orders(10), given).select("name", WEIGHT)) == {("filled",): 10}
+    plan = joins.inner(orders(10**10), given)._jdf.queryExecution().executedPlan().toString()  # not run
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["order", "top", "whole", "ranked_group"])
+def test_what_is_taken_anew_is_taken_once_and_equals_its_changes(spark, name, monkeypatch):
+    schema = f"k int, x int, {WEIGHT} long, {EPOCH} int"
+    logs = {"a": spark.createDataFrame(random_log(3), schema)}
+    plan = {**PLANS, "ranked_group": lambda: A.Map(A.OrderBy(A.Group(A.Scan("a"), ["k"], {"n": Agg("count")}), [("n", False)]), lambda d: d.drop("k"))}[name]()
+    step_by_step = bag(cl.plus(list(changes(plan, logs, 3).values())))
+    took = []
+    for f in ("ranked", "top"):
+        monkeypatch.setattr(order, f, lambda *a, _f=getattr(order, f), **k: took.append(1) or _f(*a, **k))
+    assert bag(replay(plan, logs, 3)) == step_by_step
+    assert len(took) == (name != "whole")

@@ -81,7 +81,7 @@ def revenue_plan() -> A.Node:
 @query(f"SELECT o_orderpriority, sum(CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT)))::BIGINT AS revenue, count(*) AS n FROM {O} o JOIN {L} l ON o_orderkey = l_orderkey GROUP BY 1")
 def revenue_by_priority(spark, sf_dir):
     logs = {"lineitem": log(spark, sf_dir, "lineitem", "l_orderkey", "l_extendedprice", "l_discount"), "orders": log(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority")}
-    return rows(replay(revenue_plan(), logs, LAST))
+    return cl.expand(replay(revenue_plan(), logs, LAST))
 
 
 # Stores and sources
@@ -117,7 +117,7 @@ def delete_stream(spark, sf_dir):
 @query(f"SELECT l_orderkey, l_linenumber, l_quantity FROM {L} WHERE l_linenumber = l_quantity")
 def pattern_repeat_var(spark, sf_dir):
     plan = A.Map(A.Scan("l"), lambda d: relational.repeated(d, "l_linenumber", "l_quantity"))
-    return rows(replay(plan, {"l": log(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")}, LAST))
+    return cl.expand(replay(plan, {"l": log(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")}, LAST))
 
 
 @query("SELECT n_nationkey AS s, n_name AS o, n_regionkey AS g FROM nation WHERE n_regionkey <> 0")
@@ -144,7 +144,7 @@ def source_multiset(spark, sf_dir):
 @query(f"SELECT DISTINCT regexp_extract(url, '://([^/]*)', 1) AS host FROM {PG}")
 def source_distinct_refcount(spark, sf_dir):
     plan = A.Distinct(A.Project(A.Scan("pages"), [F.regexp_extract("url", "://([^/]*)", 1).alias("host")]))
-    return rows(replay(plan, {"pages": log(spark, sf_dir, "pages", "url")}, LAST))
+    return cl.expand(replay(plan, {"pages": log(spark, sf_dir, "pages", "url")}, LAST))
 
 
 @query("""SELECT o_orderkey, o_orderstatus, -1::BIGINT AS change FROM (SELECT o_orderkey, o_orderstatus FROM orders EXCEPT ALL SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN 'X' ELSE o_orderstatus END FROM orders WHERE o_orderkey % 7 <> 2)
@@ -164,20 +164,20 @@ def snapshot_diff(spark, sf_dir):
 def filter_ebv_error(spark, sf_dir):
     text = F.when(F.col("l_linenumber") == 3, "x").otherwise(F.col("l_linenumber").cast("string"))
     plan = A.Project(A.Filter(A.Scan("l"), fn.cast(text, "integer") > 2), ["l_orderkey", "l_linenumber"])
-    return rows(replay(plan, {"l": log(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber")}, LAST))
+    return cl.expand(replay(plan, {"l": log(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber")}, LAST))
 
 
 @query(f"SELECT o_orderkey, concat(o_orderstatus, '-', o_orderpriority) AS label, TRY_CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS level FROM {O}")
 def extend_bind(spark, sf_dir):
     plan = A.Project(A.Extend(A.Scan("o"), {"label": F.concat("o_orderstatus", F.lit("-"), "o_orderpriority"), "level": fn.cast(F.substring("o_orderpriority", 1, 1), "integer")}), ["o_orderkey", "label", "level"])
-    return rows(replay(plan, {"o": log(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority")}, LAST))
+    return cl.expand(replay(plan, {"o": log(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority")}, LAST))
 
 
 @query(f"SELECT o_orderkey, o_orderstatus, name FROM {O} JOIN (VALUES ('F', 'filled'), ('O', 'open')) v(o_orderstatus, name) USING (o_orderstatus)")
 def values_join(spark, sf_dir):
     names = relational.values(spark, "o_orderstatus string, name string", [("F", "filled"), ("O", "open")])
     plan = A.Join(A.Scan("o"), A.Inline(names))
-    return rows(replay(plan, {"o": log(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus")}, LAST))
+    return cl.expand(replay(plan, {"o": log(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus")}, LAST))
 
 
 def _order_lines(spark, sf_dir, where="l_returnflag = 'R'"):
@@ -187,12 +187,12 @@ def _order_lines(spark, sf_dir, where="l_returnflag = 'R'"):
 
 @query(f"SELECT o_orderkey, o_custkey FROM {O} o WHERE EXISTS (SELECT 1 FROM {L} l WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def exists_delta(spark, sf_dir):
-    return rows(replay(A.Join(A.Scan("o"), A.Scan("l"), "semi", ["o_orderkey"]), _order_lines(spark, sf_dir), LAST))
+    return cl.expand(replay(A.Join(A.Scan("o"), A.Scan("l"), "semi", ["o_orderkey"]), _order_lines(spark, sf_dir), LAST))
 
 
 @query(f"SELECT o_orderkey, o_custkey FROM {O} o WHERE NOT EXISTS (SELECT 1 FROM {L} l WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def not_exists_delta(spark, sf_dir):
-    return rows(replay(A.Join(A.Scan("o"), A.Scan("l"), "anti", ["o_orderkey"]), _order_lines(spark, sf_dir), LAST))
+    return cl.expand(replay(A.Join(A.Scan("o"), A.Scan("l"), "anti", ["o_orderkey"]), _order_lines(spark, sf_dir), LAST))
 
 
 # Joins
@@ -200,7 +200,7 @@ def not_exists_delta(spark, sf_dir):
 
 @query(f"SELECT o_orderkey, o_custkey, l_linenumber FROM {O} JOIN {L} ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'")
 def join_inner_delta(spark, sf_dir):
-    return rows(replay(A.Join(A.Scan("o"), A.Scan("l"), keys=["o_orderkey"]), _order_lines(spark, sf_dir), LAST))
+    return cl.expand(replay(A.Join(A.Scan("o"), A.Scan("l"), keys=["o_orderkey"]), _order_lines(spark, sf_dir), LAST))
 
 
 @query(f"""WITH a AS (SELECT s_suppkey, CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE s_nationkey END AS n FROM {S}), b AS (SELECT CASE WHEN n_regionkey = 2 THEN NULL ELSE n_nationkey END AS n, n_name FROM nation)
@@ -208,7 +208,7 @@ SELECT a.s_suppkey, coalesce(a.n, b.n) AS n, b.n_name FROM a, b WHERE a.n = b.n
 def join_undef_compatible(spark, sf_dir):
     a = log(spark, sf_dir, "supplier", "s_suppkey", F.expr("CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE s_nationkey END").alias("n"))
     b = cl.lift(read(spark, sf_dir, "nation").select(F.expr("CASE WHEN n_regionkey = 2 THEN NULL ELSE n_nationkey END").alias("n"), "n_name"), 1, 0)
-    return rows(replay(A.Join(A.Scan("a"), A.Scan("b"), "compatible"), {"a": a, "b": b}, LAST))
+    return cl.expand(replay(A.Join(A.Scan("a"), A.Scan("b"), "compatible"), {"a": a, "b": b}, LAST))
 
 
 @query("SELECT r_name, n_name FROM region CROSS JOIN (SELECT n_name FROM nation WHERE n_nationkey < 5)")
@@ -222,7 +222,7 @@ def join_cross(spark, sf_dir):
 def join_bind_small_driver(spark, sf_dir):
     nations = cl.lift(read(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("k"), "n_name"), 1, 0)
     plan = A.Project(A.Join(A.Scan("n"), A.Scan("c"), keys=["k"]), ["c_custkey", "n_name"])
-    return rows(replay(plan, {"n": nations, "c": log(spark, sf_dir, "customer", "c_custkey", F.col("c_nationkey").alias("k"))}, LAST))
+    return cl.expand(replay(plan, {"n": nations, "c": log(spark, sf_dir, "customer", "c_custkey", F.col("c_nationkey").alias("k"))}, LAST))
 
 
 @query(f"SELECT c_custkey, o_orderkey, l_linenumber, s_suppkey FROM {C} JOIN {O} ON c_custkey = o_custkey JOIN {L} ON o_orderkey = l_orderkey JOIN {S} ON l_suppkey = s_suppkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'F'")
@@ -234,37 +234,37 @@ def join_multiway(spark, sf_dir):
         "s": log(spark, sf_dir, "supplier", "s_suppkey"),
     }
     plan = A.Join(A.Join(A.Join(A.Scan("c"), A.Scan("o")), A.Scan("l")), A.Scan("s"))
-    return rows(replay(plan, logs, LAST)).select("c_custkey", "o_orderkey", "l_linenumber", "s_suppkey")
+    return cl.expand(replay(plan, logs, LAST)).select("c_custkey", "o_orderkey", "l_linenumber", "s_suppkey")
 
 
 @query(f"SELECT o_orderkey, o_custkey, l_linenumber FROM {O} LEFT JOIN (SELECT * FROM {L} WHERE l_returnflag = 'R') ON o_orderkey = l_orderkey")
 def optional_delta(spark, sf_dir):
-    return rows(replay(A.Join(A.Scan("o"), A.Scan("l"), "left", ["o_orderkey"]), _order_lines(spark, sf_dir), LAST))
+    return cl.expand(replay(A.Join(A.Scan("o"), A.Scan("l"), "left", ["o_orderkey"]), _order_lines(spark, sf_dir), LAST))
 
 
 @query(f"SELECT o_orderkey, o_custkey, l_linenumber FROM {O} LEFT JOIN (SELECT * FROM {L} WHERE l_returnflag = 'R') ON o_orderkey = l_orderkey AND l_linenumber > o_custkey % 5")
 def optional_condition(spark, sf_dir):
     plan = A.Join(A.Scan("o"), A.Scan("l"), "left", ["o_orderkey"], F.expr("l_linenumber > o_custkey % 5"))
-    return rows(replay(plan, _order_lines(spark, sf_dir), LAST))
+    return cl.expand(replay(plan, _order_lines(spark, sf_dir), LAST))
 
 
 @query(f"SELECT c_custkey, c_nationkey FROM {C} c WHERE NOT EXISTS (SELECT 1 FROM {O} o WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def minus_delta(spark, sf_dir):
     big = log(spark, sf_dir, "orders", F.col("o_custkey").alias("c_custkey"), "o_totalprice").where("o_totalprice > 400000").drop("o_totalprice")
-    return rows(replay(A.Join(A.Scan("c"), A.Scan("o"), "minus"), {"c": log(spark, sf_dir, "customer", "c_custkey", "c_nationkey"), "o": big}, LAST))
+    return cl.expand(replay(A.Join(A.Scan("c"), A.Scan("o"), "minus"), {"c": log(spark, sf_dir, "customer", "c_custkey", "c_nationkey"), "o": big}, LAST))
 
 
 @query(f"WITH a AS (SELECT s_suppkey, nullif(s_nationkey % 4, 0) AS k FROM {S}), b AS (SELECT nullif(n_nationkey % 2, 0) AS k FROM nation) SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.k IS NOT DISTINCT FROM a.k)")
 def minus_null_key(spark, sf_dir):
     a = log(spark, sf_dir, "supplier", "s_suppkey", F.expr("nullif(s_nationkey % 4, 0)").alias("k"))
     b = cl.lift(read(spark, sf_dir, "nation").select(F.expr("nullif(n_nationkey % 2, 0)").alias("k")), 1, 0)
-    return rows(replay(A.Join(A.Scan("a"), A.Scan("b"), "minus"), {"a": a, "b": b}, LAST))
+    return cl.expand(replay(A.Join(A.Scan("a"), A.Scan("b"), "minus"), {"a": a, "b": b}, LAST))
 
 
 @query(f"SELECT s_suppkey, s_name FROM {S}")
 def minus_no_shared(spark, sf_dir):
     b = cl.lift(read(spark, sf_dir, "nation").select("n_name"), 1, 0)
-    return rows(replay(A.Join(A.Scan("a"), A.Scan("b"), "minus"), {"a": log(spark, sf_dir, "supplier", "s_suppkey", "s_name"), "b": b}, LAST))
+    return cl.expand(replay(A.Join(A.Scan("a"), A.Scan("b"), "minus"), {"a": log(spark, sf_dir, "supplier", "s_suppkey", "s_name"), "b": b}, LAST))
 
 
 # Grouping
@@ -274,7 +274,7 @@ def _grouped(spark, sf_dir, keys, aggs, table="lineitem", extra=(), where=None):
     rows_ = log(spark, sf_dir, table, *keys, *extra)
     if where:
         rows_ = rows_.where(where)
-    return rows(replay(A.Group(A.Scan("t"), list(keys), aggs), {"t": rows_}, LAST))
+    return cl.expand(replay(A.Group(A.Scan("t"), list(keys), aggs), {"t": rows_}, LAST))
 
 
 @query(f"SELECT l_returnflag, l_linestatus, count(*) AS n FROM {L} GROUP BY ALL")
@@ -352,7 +352,7 @@ def group_bad_value(spark, sf_dir):
     text = F.when(F.col("k") == 2, "many").otherwise(F.col("l_quantity").cast("long").cast("string"))
     number = fn.cast(text, "integer")
     plan = A.Group(A.Scan("t"), ["k"], {"total": Agg("sum", F.coalesce(number, F.lit(0)), ok=number.isNotNull()), "n": Agg("count")})
-    return rows(replay(plan, {"t": log(spark, sf_dir, "lineitem", F.col("l_linenumber").alias("k"), "l_quantity")}, LAST))
+    return cl.expand(replay(plan, {"t": log(spark, sf_dir, "lineitem", F.col("l_linenumber").alias("k"), "l_quantity")}, LAST))
 
 
 @query("""WITH o AS (SELECT o_orderpriority, count(*) AS n, max(o_orderkey) AS hi FROM orders WHERE NOT o_orderkey % 5 = 1 GROUP BY 1), w AS (SELECT o_orderpriority, count(*) AS n, max(o_orderkey) AS hi FROM orders WHERE NOT (o_orderkey % 5 = 1 AND o_orderkey % 15 <> 1) GROUP BY 1)
@@ -365,7 +365,7 @@ def group_changelog(spark, sf_dir):
 @query(f"SELECT o_custkey, count(*) AS n FROM {O} GROUP BY 1 HAVING count(*) > 12")
 def having(spark, sf_dir):
     plan = A.Filter(A.Group(A.Scan("o"), ["o_custkey"], {"n": Agg("count")}), F.col("n") > 12)
-    return rows(replay(plan, {"o": log(spark, sf_dir, "orders", "o_custkey", "o_orderkey")}, LAST))
+    return cl.expand(replay(plan, {"o": log(spark, sf_dir, "orders", "o_custkey", "o_orderkey")}, LAST))
 
 
 @query(f"SELECT l_returnflag, count(*) AS n, sum(l_linenumber)::BIGINT AS total FROM {L} GROUP BY 1")
@@ -391,24 +391,24 @@ def group_sums_state(spark, sf_dir):
 
 @query(f"SELECT DISTINCT l_suppkey, l_linenumber FROM {L}")
 def distinct_delta(spark, sf_dir):
-    return rows(replay(A.Distinct(A.Scan("l")), {"l": log(spark, sf_dir, "lineitem", "l_suppkey", "l_linenumber")}, LAST))
+    return cl.expand(replay(A.Distinct(A.Scan("l")), {"l": log(spark, sf_dir, "lineitem", "l_suppkey", "l_linenumber")}, LAST))
 
 
 @query(f"SELECT DISTINCT o_custkey, o_orderstatus FROM {O}")
 def reduced_delta(spark, sf_dir):
-    return rows(replay(A.Distinct(A.Scan("o")), {"o": log(spark, sf_dir, "orders", "o_custkey", "o_orderstatus")}, LAST))
+    return cl.expand(replay(A.Distinct(A.Scan("o")), {"o": log(spark, sf_dir, "orders", "o_custkey", "o_orderstatus")}, LAST))
 
 
 @query(f"SELECT c_custkey, c_nationkey, row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 AS __rank FROM {C}")
 def orderby_rank(spark, sf_dir):
     plan = A.OrderBy(A.Scan("c"), [("c_nationkey", True)])
-    return rows(replay(plan, {"c": log(spark, sf_dir, "customer", "c_custkey", "c_nationkey")}, LAST))
+    return cl.expand(replay(plan, {"c": log(spark, sf_dir, "customer", "c_custkey", "c_nationkey")}, LAST))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, k, row_number() OVER (ORDER BY k DESC NULLS LAST, l_linenumber ASC NULLS FIRST, l_orderkey) - 1 AS __rank FROM (SELECT l_orderkey, l_linenumber, nullif(l_suppkey % 7, 0) AS k FROM {L})")
 def orderby_mixed_desc(spark, sf_dir):
     plan = A.OrderBy(A.Scan("l"), [("k", False), ("l_linenumber", True)])
-    return rows(replay(plan, {"l": log(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", F.expr("nullif(l_suppkey % 7, 0)").alias("k"))}, LAST))
+    return cl.expand(replay(plan, {"l": log(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", F.expr("nullif(l_suppkey % 7, 0)").alias("k"))}, LAST))
 
 
 @query(f"""WITH o AS (SELECT c_custkey, c_nationkey, row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 AS r FROM customer), w AS (SELECT c_custkey, c_nationkey, row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 AS r FROM (SELECT * FROM customer WHERE c_custkey % 9 <> 4))
@@ -429,7 +429,7 @@ TOP = [("o_totalprice", False), ("o_orderkey", True)]
 
 @query(f"SELECT o_orderkey, o_totalprice FROM {O} ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 10")
 def topk_offset(spark, sf_dir):
-    return rows(replay(A.Slice(A.Scan("o"), 25, 10, TOP), {"o": log(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")}, LAST))
+    return cl.expand(replay(A.Slice(A.Scan("o"), 25, 10, TOP), {"o": log(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")}, LAST))
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 10), w AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 5 <> 1 ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 10)
@@ -442,7 +442,7 @@ def topk_changelog(spark, sf_dir):
 @query(f"SELECT s_suppkey AS k, s_name AS name, NULL::VARCHAR AS seg FROM {S} UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM {C}")
 def union_bag(spark, sf_dir):
     plan = A.Union([A.Project(A.Scan("s"), [F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")]), A.Project(A.Scan("c"), [F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("seg")])])
-    return rows(replay(plan, {"s": log(spark, sf_dir, "supplier"), "c": log(spark, sf_dir, "customer")}, LAST))
+    return cl.expand(replay(plan, {"s": log(spark, sf_dir, "supplier"), "c": log(spark, sf_dir, "customer")}, LAST))
 
 
 # Paths
@@ -549,7 +549,7 @@ def udf_extension(spark, sf_dir):
         return "<" + a.str[::-1] + b.astype(str) + ">"
 
     plan = A.Project(A.Extend(A.Scan("o"), {"tag": reg.call("http://example.org/tag", F.col("o_orderstatus"), F.col("o_orderkey"))}), ["o_orderkey", "tag"])
-    return rows(replay(plan, {"o": log(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus")}, LAST))
+    return cl.expand(replay(plan, {"o": log(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus")}, LAST))
 
 
 # SPARQL over the tables as quads
@@ -575,7 +575,7 @@ def sparql(spark, log_: DataFrame, text: str, **options) -> DataFrame:
     from .plans.sparql import QUADS, compile_query
 
     compiled = compile_query(spark, PREFIX + text, **options)
-    return rows(replay(compiled.node, {QUADS: cl.checkpoint(log_)}, LAST))
+    return cl.expand(replay(compiled.node, {QUADS: cl.checkpoint(log_)}, LAST))
 
 
 _INT = '"^^<http://www.w3.org/2001/XMLSchema#integer>'
