@@ -636,15 +636,17 @@ def sparql_exists_unbound(spark, sf_dir):
 # Streams
 
 
-def _stream(spark, log_: DataFrame):
-    """The log as files, one for each epoch, read one a micro-batch."""
+def _stream(spark, log_: DataFrame, start: Callable) -> str:
+    """The log as files, one epoch a micro-batch: an epoch's files come when the one before has been followed, and the query
+    that `start` makes of a stream and a folder goes on from its checkpoint. An epoch has as many files as its rows have parts."""
     import uuid
 
     path = f"{cl.shared_root(spark)}/stream-{uuid.uuid4().hex}"
     for e in range(LAST + 1):
-        log_.where(F.col(EPOCH) == e).drop(EPOCH).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    schema = spark.read.parquet(f"{path}/in").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
+        log_.where(F.col(EPOCH) == e).drop(EPOCH).write.mode("append").parquet(f"{path}/in")
+        schema = spark.read.parquet(f"{path}/in").schema
+        start(spark.readStream.schema(schema).parquet(f"{path}/in"), path).awaitTermination()
+    return path
 
 
 def _followed(spark, node: A.Node, logs: dict[str, DataFrame]) -> DataFrame:
@@ -653,10 +655,9 @@ def _followed(spark, node: A.Node, logs: dict[str, DataFrame]) -> DataFrame:
     shapes = {k: v.drop(WEIGHT, EPOCH).schema for k, v in logs.items()}
     if len(logs) > 1:
         logs = {k: v.withColumn(RELATION, F.lit(k)) for k, v in logs.items()}
-    stream, path = _stream(spark, cl.plus(list(logs.values())))
-    view = StreamView(spark, node, shapes, f"{path}/view")
-    view.start(stream).awaitTermination()
-    return cl.expand(view.result())
+    view = lambda path: StreamView(spark, node, shapes, f"{path}/view")
+    path = _stream(spark, cl.plus(list(logs.values())), lambda stream, path: view(path).start(stream))
+    return cl.expand(view(path).result())
 
 
 @query(f"SELECT o_orderpriority, count(*) AS n, max(o_orderkey) AS hi FROM {O} GROUP BY 1")
@@ -673,17 +674,17 @@ def stream_join(spark, sf_dir):
 def _keyed(spark, log_: DataFrame, make, names: list[str]) -> DataFrame:
     from .streaming.micro import ROCKSDB
 
-    stream, path = _stream(spark, log_)
+    def start(stream: DataFrame, path: str):
+        def step(df: DataFrame, batch: int) -> None:
+            df.write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
+
+        return make(stream, names).writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").foreachBatch(step).trigger(availableNow=True).start()
+
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, ROCKSDB)
     try:
-        out = make(stream, names)
-
-        def step(df: DataFrame, batch: int) -> None:
-            df.write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
-
-        out.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").foreachBatch(step).trigger(availableNow=True).start().awaitTermination()
+        path = _stream(spark, log_, start)
     finally:
         spark.conf.set(key, before)
     return cl.expand(cl.consolidate(spark.read.parquet(f"{path}/out").drop("batch")))
