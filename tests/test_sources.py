@@ -251,6 +251,25 @@ def test_streams_recover_and_follow(spark, tmp_path):
     assert {(r.k, r.n, r.hi): r[WEIGHT] for r in view.result().collect()} == {("a", 2, 5): 1}
 
 
+def test_an_epoch_is_one_batch_of_many_files_and_distinct_takes_few_calls(spark, monkeypatch):
+    import glob
+
+    from tideline import queries as q
+    from tideline.streaming import micro
+
+    seen = [1, 2, 3]
+    rows = [(None if i % 50 == 0 else i % 50, f"x{i % 3}\n", 0.0 if i % 2 else -0.0, w, e) for i in range(600) for w, e in [(1, 0), *([(-1, 1)] if i % 50 < 20 else []), *([(1, 2)] if i % 50 < 5 else [])]]
+    log_ = spark.createDataFrame(rows, f"k int, t string, d double, {WEIGHT} long, {EPOCH} int").repartition(3).withColumn("at", F.expr("timestamp_micros(1700000000000000 + coalesce(k, 7))"))
+    monkeypatch.setattr(q, "_stream", lambda *a, _f=q._stream: seen.append(_f(*a)) or seen[-1])
+    names = ["k", "t", "d", "at"]
+    got = q._keyed(spark, log_.select(*names, WEIGHT, EPOCH), micro.distinct_stream, names).collect()
+    want = {(k, t) for k, t, *_ in rows if (k or 0) % 50 >= 20 or (k or 0) < 5}
+    assert {(r.k, r.t) for r in got} == want and len(got) == len(want)
+    assert all(r.d == 0 and r["at"].microsecond == (r.k or 7) for r in got)
+    assert len(glob.glob(f"{seen[-1]}/in/*.parquet".removeprefix("file:"))) > 3
+    assert len(glob.glob(f"{seen[-1]}/out/batch=*".removeprefix("file:"))) == 3
+
+
 def test_extension_registry(spark):
     from tideline.functions.extension import Registry
 

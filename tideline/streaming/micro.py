@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,7 +20,7 @@ from ..plans.compiler import delta, evaluate
 #: Names the base relation of a row in a stream that carries several.
 RELATION = "__relation"
 #: Weight and order of events as the processors see them: names that begin with an underscore don't reach pandas.
-CHANGE, ORDER = "w_change", "w_order"
+CHANGE, ORDER, KEY = "w_change", "w_order", "w_key"
 
 
 class StreamView:
@@ -48,7 +49,10 @@ class StreamView:
 
     def on_batch(self, changes: Mapping[str, DataFrame], batch: int) -> None:
         old = {k: self._state(k, batch - 1) for k in self.schemas}
-        change = {k: consolidate(v) for k, v in changes.items()}
+        change = {}
+        for k, v in changes.items():  # once: the state and the result's change read it
+            consolidate(v).write.mode("overwrite").parquet(self._at(f"change-{k}", batch))
+            change[k] = self.spark.read.parquet(self._at(f"change-{k}", batch))
         for k in self.schemas:
             new = consolidate(plus([old[k], change[k]])) if k in change else old[k]
             new.write.mode("overwrite").parquet(self._at(f"state-{k}", batch))
@@ -102,16 +106,45 @@ class _Counts(StatefulProcessor):
         pass
 
 
-class DistinctProcessor(_Counts):
-    """DISTINCT by reference counts: +1 when a row comes, -1 when its last copy goes."""
+#: JSON keeps the microseconds of timestamps.
+EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+#: Keys of a DISTINCT share this many states; a call of the processor costs about the same for one key and for hundreds.
+BUCKETS, BUCKET = 4096, "w_bucket"
+
+
+class DistinctProcessor(StatefulProcessor):
+    """DISTINCT by reference counts: +1 when a row comes, -1 when its last copy goes. Called once a bucket of keys, whose
+    counts are one value: the keys' JSON texts and their counts as parallel arrays."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("held", "keys array<string>, counts array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = self._before()
-        now = before + int(sum(r[CHANGE].sum() for r in rows))
-        self._after(now)
-        change = int(now > 0) - int(before > 0)
-        if change:
-            yield pd.DataFrame([(*key, change)], columns=[*self.names, CHANGE])
+        got = self.state.get()
+        held = dict(zip(got[0], got[1])) if got else {}
+        came: dict[str, int] = {}
+        for r in rows:
+            for k, n in zip(r[KEY], r[CHANGE]):
+                came[k] = came.get(k, 0) + int(n)
+        out = []
+        for k, n in came.items():
+            before = held.get(k, 0)
+            now = before + n
+            if now:
+                held[k] = now
+            else:
+                held.pop(k, None)
+            if (now > 0) != (before > 0):
+                out.append((k, 1 if now > 0 else -1))
+        if held:
+            self.state.update((list(held), list(held.values())))
+        else:
+            self.state.clear()
+        if out:
+            yield pd.DataFrame(out, columns=[KEY, CHANGE])
+
+    def close(self) -> None:
+        pass
 
 
 class SetProcessor(_Counts):
@@ -151,8 +184,29 @@ def keyed(stream: DataFrame, names: list[str], processor: type[_Counts], extra:
     return out.withColumnRenamed(CHANGE, WEIGHT)
 
 
+def summed(stream: DataFrame) -> DataFrame:
+    """Partial sums of CHANGE by the other columns, within what a task reads at once; without state."""
+    own = [x for x in stream.columns if x != CHANGE]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b]).group_by(own).aggregate([(CHANGE, "sum")])
+            yield from t.rename_columns([*own, CHANGE]).select(b.schema.names).cast(b.schema).to_batches()
+
+    return stream.mapInArrow(add, stream.schema)
+
+
 def distinct_stream(stream: DataFrame, names: list[str]) -> DataFrame:
-    return keyed(stream, names, DistinctProcessor)
+    """Keys go through the processor as JSON texts, which keep nulls and are the same for the same values."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for n in names for f in stream.schema.fields if f.name == n)
+    real = {f.name for f in stream.schema.fields if f.dataType.typeName() in ("float", "double")}
+    # 0.0 is added for -0.0, which equals 0.0.
+    each = [(F.col(f"`{n}`") + F.lit(0.0).cast(stream.schema[n].dataType)).alias(n) if n in real else F.col(f"`{n}`") for n in names]
+    key = F.to_json(F.struct(*each), {"ignoreNullFields": "false", **EXACT})
+    given = summed(stream.select(key.alias(KEY), F.col(WEIGHT).alias(CHANGE)))
+    given = given.withColumn(BUCKET, F.pmod(F.xxhash64(KEY), F.lit(BUCKETS)).cast("int"))
+    out = given.groupBy(BUCKET).transformWithStateInPandas(DistinctProcessor(), outputStructType=f"{KEY} string, {CHANGE} long", outputMode="Update", timeMode="None")
+    return out.select(F.from_json(KEY, fields, EXACT).alias("k"), F.col(CHANGE).alias(WEIGHT)).select("k.*", WEIGHT)
 
 
 def set_stream(stream: DataFrame, names: list[str]) -> DataFrame:
